@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import decontaminate
+from scriptorium.llm import bpe, decontaminate, tokenfile, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op5_token_files": tokenfile.op5_token_files,
+    "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_url_filter": urlfilter.op10_url_filter,
 }
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op10_url_filter": urlfilter.ORACLE,
 }
