@@ -17,8 +17,8 @@ holds more than a block and one document.
 
 The encoder's vocabulary drops white space between words, so a text's ids are
 those of its words (split at ASCII white space) one after another; each worker
-keeps the ids of up to ``CACHED_WORDS`` words, and words beyond 64 characters
-are encoded anew each time.
+keeps the ids of the words it met last, up to twice ``CACHED_WORDS``, over all
+its tasks, and words beyond 64 characters are encoded anew each time.
 
 Defined results: a null text is an empty one (the end id alone); documents with
 a null id come first; repeated ids are ordered by checksum, then ids; columns
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +41,17 @@ from scriptorium.llm.runtime import Scratch, tuned
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 
 BLOCKS = "shard int, block int, before bigint, n_docs int, n_ids bigint, width int, null_ids int, doc_ids binary, ids binary, bounds binary"
 
 
 class WordIds(dict):
-    """The packed ids of words, as the tokenizer gives them."""
+    """The packed ids of words, as the tokenizer gives them: a young generation, which becomes the old one when it is full."""
 
     def __init__(self, file: str, dtype: np.dtype):
         super().__init__()
+        self.old: dict[str, bytes] = {}
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -57,14 +59,22 @@ class WordIds(dict):
         self.dtype = dtype
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        if (ids := self.old.get(word)) is None:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
         if len(word) <= 64:
             if len(self) >= CACHED_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
 
+@cache
+def _worker(file: str, wide: bool) -> WordIds:
+    """What one worker keeps."""
+    return WordIds(file, np.dtype("<u4" if wide else "<u2"))
+
+
 _SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
@@ -84,7 +94,7 @@ def encoded(docs: DataFrame, file: str, end_id: int, bounds: list[int]) -> DataF
     edges = np.array(bounds, dtype=np.int64)
 
     def run(batches):
-        words = WordIds(file, dtype)
+        words = _worker(file, dtype.itemsize == 4)
         end = np.array([end_id], dtype=dtype).tobytes()
         get = words.__getitem__
         for batch in batches:
