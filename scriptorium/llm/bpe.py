@@ -4,12 +4,12 @@ A sequence of tokens is what the merges make of its bytes exactly if each token
 is (alone) what the merges make of its own bytes and so is each pair of
 neighbours.  So for every prefix of a piece there is one last token, found from
 the last tokens of shorter prefixes, and the transducer reads one byte at a time.
-Its state is what later bytes can still depend on: the last token that is
-settled, the bytes since then, and the boundaries within them at which a token
-that is still growing may start.  What all of those have in common behind them
+Its state is what later bytes can still depend on: the boundaries at which a
+token that is still growing may start, each with that token's node in the tree
+of tokens and the tokens before it.  What all of those have in common behind them
 is settled and emitted, so the lookahead is bounded by the longest token.
 States and their transitions are made when they are first met and kept, up to
-``MAX_STATES``.
+``MAX_STATES``; workers also keep the ids of the pieces they met last.
 
 Decoding goes token by token through an incremental UTF-8 machine; its
 transitions by whole tokens are kept as well.
@@ -21,6 +21,7 @@ are encoded each for itself; columns other than the id and the text are not read
 from __future__ import annotations
 
 import base64
+import struct
 from functools import cache
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.runtime import tuned, type_of
 
-MAX_STATES = 300_000
+MAX_STATES = 200_000
 CACHED_PIECES = 300_000
 
 
@@ -40,17 +41,17 @@ def read_ranks(file: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class State:
-    """What is settled (``before``: its last token, or -1), the bytes since, and the live boundaries in them.
+#: A live boundary: node of the token that is growing from it, the token before it, and the tokens from the settled place to it.
+Live = tuple[int, int, tuple[int, ...]]
 
-    ``live`` has (offset, tokens from the settled place to there) for each boundary at which a growing token may start;
-    the boundary at the end of the bytes is always the last of them.
-    """
 
-    __slots__ = ("before", "pending", "live", "next")
+class State:
+    """The live boundaries; the one at the end of what was read is the last of them."""
 
-    def __init__(self, before: int, pending: bytes, live: tuple[tuple[int, tuple[int, ...]], ...]):
-        self.before, self.pending, self.live = before, pending, live
+    __slots__ = ("live", "next")
+
+    def __init__(self, live: tuple[Live, ...]):
+        self.live = live
         self.next: dict[int, tuple[State, tuple[int, ...]]] = {}
 
 
@@ -58,23 +59,36 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.growing = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.longest = max(map(len, ranks))
+        #: The tokens' prefix tree: node and byte to node, each node's token, and which nodes have more below.
+        self.child: dict[int, int] = {}
+        self.token = [-1]
+        self.inner = {0}
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner.add(node)
+                after = self.child.setdefault(node << 8 | byte, len(self.token))
+                if after == len(self.token):
+                    self.token.append(-1)
+                node = after
+            self.token[node] = rank
         self._fits: dict[tuple[int, int], bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.start = State(-1, b"", ((0, ()),))
-        self.states: dict[tuple[int, bytes], State] = {(-1, b""): self.start}
+        self.start = State(((0, -1, ()),))
+        self.states: dict[tuple[Live, ...], State] = {self.start.live: self.start}
 
     def merged(self, data: bytes) -> list[int]:
         """The merges carried out plainly, lowest rank first; only for tokens and pairs of tokens."""
         parts = [data[i : i + 1] for i in range(len(data))]
         ranks = self.ranks
         while len(parts) > 1:
-            best, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            found = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:], strict=False)]
+            best = min(found)
             if best == 1 << 60:
                 break
+            at = found.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
@@ -86,7 +100,7 @@ class Transducer:
                 known = self.merged(self.bytes_of[right]) == [right]
             else:
                 known = self.fits(-1, right) and self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            if len(self._fits) > 4 * MAX_STATES:
+            if len(self._fits) >= MAX_STATES:
                 self._fits.clear()
             self._fits[key] = known
         return known
@@ -95,34 +109,33 @@ class Transducer:
         """The next state and the tokens that are settled by the byte."""
         if (known := state.next.get(byte)) is not None:
             return known
-        pending = state.pending + bytes((byte,))
-        ranks = self.ranks
-        for offset, behind in state.live:
-            token = ranks.get(pending[offset:])
-            if token is not None and self.fits(behind[-1] if behind else state.before, token):
-                end = (len(pending), (*behind, token))
-                break
-        else:
+        live, end = [], None
+        for node, last, behind in state.live:
+            after = self.child.get(node << 8 | byte)
+            if after is None:
+                continue
+            token = self.token[after]
+            if end is None and token >= 0 and self.fits(last, token):
+                end = (0, token, (*behind, token))
+            if after in self.inner:
+                live.append((after, last, behind))
+        if end is None:
             raise ValueError("a byte is not in the vocabulary")
-        live = [(o, b) for o, b in state.live if pending[o:] in self.growing]
         live.append(end)
-        shared = 0
-        first = live[0][1]
-        for k in range(min(len(b) for _, b in live)):
-            if any(b[k] != first[k] for _, b in live):
-                break
-            shared = k + 1
-        settled = first[:shared]
-        before, cut = (settled[-1], sum(len(self.bytes_of[t]) for t in settled)) if settled else (state.before, 0)
-        key = (before, pending[cut:])
+        behind = live[0][2]
+        shared = len(behind)
+        for _, _, other in live[1:]:
+            shared = min(shared, len(other))
+            while behind[:shared] != other[:shared]:
+                shared -= 1
+        key = tuple((node, last, b[shared:]) for node, last, b in live) if shared else tuple(live)
         after = self.states.get(key)
         if after is None:
             if len(self.states) >= MAX_STATES:
                 self._reset()
-            after = State(before, pending[cut:], tuple((o - cut, b[shared:]) for o, b in live))
-            self.states[key] = after
-        state.next[byte] = (after, settled)
-        return after, settled
+            after = self.states[key] = State(key)
+        state.next[byte] = move = (after, behind[:shared])
+        return move
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one piece; a piece that is itself a token is that token."""
@@ -131,23 +144,28 @@ class Transducer:
         out: list[int] = []
         state = self.start
         for byte in piece:
-            state, settled = self.step(state, byte)
-            out += settled
-        out += state.live[-1][1]
+            state, settled = state.next.get(byte) or self.step(state, byte)
+            if settled:
+                out += settled
+        out += state.live[-1][2]
         return out
 
 
 class PieceIds(dict):
-    """Packed ids of pieces of text."""
+    """Packed ids of the pieces met last: a young generation, which becomes the old one when it is full."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.transducer.encode(piece.encode("utf-8", "replace")), dtype="<u4").tobytes()
+        if (ids := self.old.get(piece)) is None:
+            found = self.transducer.encode(piece.encode("utf-8", "replace"))
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= 64:
             if len(self) >= CACHED_PIECES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -216,12 +234,17 @@ class StreamDecoder:
 
 
 @cache
-def _worker(file: str, pattern: str):
-    """What one worker keeps: pattern, pieces, decoding transitions."""
+def _encoder(file: str, pattern: str):
+    """What one worker keeps for encoding."""
     import regex
 
-    transducer = Transducer(read_ranks(file))
-    return regex.compile(pattern).findall, PieceIds(transducer), {}
+    return regex.compile(pattern).findall, PieceIds(Transducer(read_ranks(file)))
+
+
+@cache
+def _decoder(file: str) -> tuple[dict[int, bytes], dict]:
+    """What one worker keeps for decoding: tokens, and the machine's transitions by tokens so far."""
+    return {rank: token for token, rank in read_ranks(file).items()}, {}
 
 
 def encode(docs: DataFrame, file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,7 +252,7 @@ def encode(docs: DataFrame, file: str, pattern: str, *, id_col: str = "doc_id",
     tuned(docs.sparkSession)
 
     def run(batches):
-        pieces, ids, _ = _worker(file, pattern)
+        pieces, ids = _encoder(file, pattern)
         get = ids.__getitem__
         for batch in batches:
             packed = [b"".join(map(get, pieces(text))) if text else b"" for text in batch.column(1).to_pylist()]
@@ -238,15 +261,15 @@ def encode(docs: DataFrame, file: str, pattern: str, *, id_col: str = "doc_id",
     return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {type_of(docs, id_col)}, ids binary")
 
 
-def decode(encoded: DataFrame, file: str, pattern: str, *, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+def decode(encoded: DataFrame, file: str, *, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, text, and the columns of ``keep``) from what ``encode`` gives."""
 
     def run(batches):
-        _, ids, known = _worker(file, pattern)
+        bytes_of, known = _decoder(file)
         for batch in batches:
             texts = []
             for raw in batch.column(1).to_pylist():
-                decoder = StreamDecoder(ids.transducer.bytes_of, known)
+                decoder = StreamDecoder(bytes_of, known)
                 texts.append(decoder.push(np.frombuffer(raw, "<u4").tolist()) + decoder.finish())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:]], [id_col, "text", *keep])
 
@@ -260,7 +283,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     file, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     there = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), file, pattern)
-    back = decode(there, file, pattern, keep=("ids",))
+    back = decode(there, file, keep=("ids",))
     return back.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
