@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import ann, bpe, chat, decontaminate, fingerprints, quality, suffixarray, tokenfile, urlfilter
+from scriptorium.llm import ann, bpe, chat, decontaminate, fingerprints, jaccard, quality, suffixarray, tokenfile, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_suffix_array": suffixarray.op3_suffix_array,
     "op4_fingerprint_index": fingerprints.op4_fingerprint_index,
     "op5_token_files": tokenfile.op5_token_files,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op2_jaccard_join": jaccard.ORACLE,
     "op3_suffix_array": suffixarray.ORACLE,
     "op4_fingerprint_index": fingerprints.ORACLE,
     "op6_chat_windows": chat.ORACLE,
