@@ -259,6 +259,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     return out.withColumnRenamed("_id", id_col)
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without any occurrence of a window, as they are."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_of"))
+    found = contamination(rows, benchmark, id_col="_row", text_col="_of", **options)
+    return found.where(F.size("hit") == 0).select("_row.*")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
