@@ -16,9 +16,10 @@ shard is read in order and cut into blocks of ``BLOCK_IDS`` ids, so no task
 holds more than a block and one document.
 
 The encoder's vocabulary drops white space between words, so a text's ids are
-those of its words (split at ASCII white space) one after another; each worker
-keeps the ids of the words it met last, up to twice ``CACHED_WORDS``, over all
-its tasks, and words beyond 64 characters are encoded anew each time.
+those of its words (split at ASCII white space) one after another, and a word's
+those of the parts that the tokenizer merges separately; each worker keeps the
+ids of the words and parts it met last, up to twice ``CACHED_WORDS`` of each, over
+all its tasks, and those beyond 64 characters are encoded anew each time.
 
 Defined results: a null text is an empty one (the end id alone); documents with
 a null id come first; repeated ids are ordered by checksum, then ids; columns
@@ -28,6 +29,7 @@ other than the id and the text are not read.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -46,27 +48,72 @@ CACHED_WORDS = 400_000
 BLOCKS = "shard int, block int, before bigint, n_docs int, n_ids bigint, width int, null_ids int, doc_ids binary, ids binary, bounds binary"
 
 
-class WordIds(dict):
-    """The packed ids of words, as the tokenizer gives them: a young generation, which becomes the old one when it is full."""
+#: Fixed value: the vocabulary's own split of lower-cased text, by which words of plain characters are taken apart.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters up to U+00FF without controls and white space: lower-casing is one to one, and composition changes nothing.
+PLAIN = r"[!-~\u00a1-\u00ac\u00ae-\u00ff]+"
 
-    def __init__(self, file: str, dtype: np.dtype):
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it is printed, else the next from U+0100 on."""
+    printed = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in printed else next(others)) for b in range(256)]
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+class Recent(dict):
+    """Values of the keys met last: a young generation, which becomes the old one when it is full."""
+
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
+        self.make = make
         self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (value := self.old.get(key)) is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= CACHED_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class WordIds:
+    """Packed ids of words as the tokenizer gives them; words of plain characters by their parts."""
+
+    def __init__(self, file: str, dtype: np.dtype):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.dtype = dtype
+        self.parts, self.plain = regex.compile(SPLIT).findall, regex.compile(PLAIN).fullmatch
+        self.merge = self.tokenizer.model.tokenize
+        self.part, self.word = Recent(self._part), Recent(self._word)
 
-    def __missing__(self, word: str) -> bytes:
-        if (ids := self.old.get(word)) is None:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        if len(word) <= 64:
-            if len(self) >= CACHED_WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = "".join(map(BYTE_LETTERS.__getitem__, part.encode()))
+        return np.array([token.id for token in self.merge(part)], dtype=self.dtype).tobytes()
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if self.plain(word):
+            return b"".join(map(self.part.__getitem__, self.parts(word.lower())))
+        return self._encoded(word)
+
+    def text(self, text: str) -> bytes:
+        for space in "\t\n\x0b\x0c\r":
+            text = text.replace(space, " ")
+        return b"".join(map(self.word.__getitem__, text.split(" ")))
 
 
 @cache
@@ -75,9 +122,6 @@ def _worker(file: str, wide: bool) -> WordIds:
     return WordIds(file, np.dtype("<u4" if wide else "<u2"))
 
 
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
-
-
 def _id_type(vocabulary: int) -> np.dtype:
     return np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
 
@@ -96,10 +140,9 @@ def encoded(docs: DataFrame, file: str, end_id: int, bounds: list[int]) -> DataF
     def run(batches):
         words = _worker(file, dtype.itemsize == 4)
         end = np.array([end_id], dtype=dtype).tobytes()
-        get = words.__getitem__
         for batch in batches:
             ids = batch.column(0)
-            packed = [b"".join(map(get, text.translate(_SPACES).split(" "))) + end if text else end for text in batch.column(1).to_pylist()]
+            packed = [words.text(text) + end if text else end for text in batch.column(1).to_pylist()]
             ties = np.array([zlib.crc32(x) for x in packed], dtype=np.int64)
             known = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             lo, hi = np.searchsorted(edges, known, "left"), np.searchsorted(edges, known, "right")
