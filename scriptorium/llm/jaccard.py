@@ -22,10 +22,10 @@ the least of them, their hub, and the exact difference from it is computed.
 What this leaves are pairs of one hub that are not linked through it.  Of two
 such sets x and y with differences Dx and Dy from the hub, x and y differ in
 ``|Dx| + |Dy| - 2 |Dx & Dy|``, so linked ones share elements of Dx and Dy: they
-meet on a prefix of those, new elements first, which is short.  Meeting places
-of up to ``MEETING`` sets are compared exactly on the spot; a larger one takes
-its least member for a further hub, and so on until none is left.  No bucket is
-ever expanded to pairs.
+meet on a prefix of those, new elements first, which is short.  At a place where
+up to ``MEETING`` sets meet, those that can have enough in common by their numbers
+and places are compared exactly; a larger one takes its least member for a
+further hub, and so on until none is left.  No bucket is ever expanded to pairs.
 
 Shingles are compared by 64-bit hashes of their words, lengths included.
 
@@ -55,7 +55,7 @@ from scriptorium.llm.runtime import Scratch
 
 SHINGLE = 5
 SIMILARITY = Fraction(4, 5)
-#: Sets compared on the spot at one meeting place.
+#: Sets at one meeting place beyond which it gets a hub.
 MEETING = 256
 #: Members of a hub that are compared in one run of rows.
 HUB_PART = 256
@@ -278,7 +278,7 @@ def _few(keys: DataFrame) -> DataFrame:
 
 
 def compared(sets: DataFrame, pairs: DataFrame, shingle: int, t: Fraction) -> DataFrame:
-    """(hub, x, n, apart, linked, diff) for each pair: x's size, elements in which it differs from the hub, those new in x first."""
+    """(hub, x, n, apart, linked, prefix) for each pair: x's size, how many elements differ, and the first of those, new ones in x first."""
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_PART).alias("parts"))
     dealt = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("x"), "parts").alias("part"), "x")
     wanted = pairs.select(F.explode(F.array("hub", "x")).alias("_k")).distinct()
@@ -292,7 +292,7 @@ def compared(sets: DataFrame, pairs: DataFrame, shingle: int, t: Fraction) -> Da
         key = own = None
         for batch in batches:
             hub, part, role, x = (batch.column(i).to_numpy() for i in (0, 1, 2, 3))
-            out = {"hub": [], "x": [], "n": [], "apart": [], "linked": [], "diff": []}
+            out = {"hub": [], "x": [], "n": [], "apart": [], "linked": [], "prefix": []}
             for lo, hi, words in T.words_of(batch.column(4), T.NON_SPACE, lower=True):
                 text, hashed = shingle_sets(words, shingle)
                 first = np.searchsorted(text, np.arange(hi - lo + 1))
@@ -307,16 +307,15 @@ def compared(sets: DataFrame, pairs: DataFrame, shingle: int, t: Fraction) -> Da
                     kept = np.ones(len(own), dtype=bool)
                     kept[place[common]] = False
                     shared = int(common.sum())
-                    out["hub"].append(hub[i])
-                    out["x"].append(x[i])
-                    out["n"].append(len(mine))
-                    out["apart"].append(len(mine) + len(own) - 2 * shared)
-                    out["linked"].append(den * shared >= num * (len(mine) + len(own) - shared))
-                    out["diff"].append(np.concatenate([mine[~common], own[kept]]).tobytes())
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                    apart = len(mine) + len(own) - 2 * shared
+                    linked = den * shared >= num * (len(mine) + len(own) - shared)
+                    least = _prefix(len(mine), apart, linked, t)
+                    for values, value in zip(out.values(), (hub[i], x[i], len(mine), apart, linked, np.concatenate([mine[~common][:least], own[kept]])[:least].view(np.int64)), strict=True):
+                        values.append(value)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), types, strict=True)], list(out))
 
-    return rows.mapInArrow(run, "hub bigint, x bigint, n bigint, apart bigint, linked boolean, diff binary")
+    return rows.mapInArrow(run, "hub bigint, x bigint, n bigint, apart bigint, linked boolean, prefix array<bigint>")
 
 
 def _prefix(n: int, apart: int, linked: bool, t: Fraction) -> int:
@@ -327,77 +326,70 @@ def _prefix(n: int, apart: int, linked: bool, t: Fraction) -> int:
     return apart - max(1, apart - (den - num) * n // num) + 1
 
 
-def meetings(members: DataFrame, t: Fraction) -> DataFrame:
-    """(hub, element, x, n, apart, linked, label, diff): members of hubs with several labels, at each element of their prefix."""
+def met(members: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b, hot): sets that may be linked past their hub; at a place with too many, each with the least of them.
 
-    def run(batches):
-        for batch in batches:
-            at, elements = [], []
-            for i, (n, apart, linked, diff) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 6)), strict=True)):
-                own = np.frombuffer(diff, "<u8")[: _prefix(n, apart, linked, t)]
-                at.append(np.full(len(own), i))
-                elements.append(own)
-            if at and len(rows := np.concatenate(at)):
-                taken = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(np.concatenate(elements).view(np.int64)), *taken.columns[1:]], ["hub", "element", "x", "n", "apart", "linked", "label", "diff"])
-
-    return members.select("hub", "x", "n", "apart", "linked", "label", "diff").mapInArrow(run, "hub bigint, element bigint, x bigint, n bigint, apart bigint, linked boolean, label bigint, diff binary")
-
-
-def met(rows: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b, hot): links between sets that meet; at a place with too many, each with the least of them, to be compared."""
+    Members (with labels; equal ones are linked already) meet at the elements of their prefixes.  Of two that meet, so many elements
+    must be common that neither may have too few from here on, and their numbers must be near each other.
+    """
     num, den = t.numerator, t.denominator
+    rows = members.select("hub", "x", "n", "apart", "linked", "label", F.posexplode("prefix").alias("at", "element")).select("hub", "element", "x", "n", "apart", "linked", "label", "at")
 
-    def links(held: list[tuple]) -> list[tuple[int, int]]:
+    def place(c: list[np.ndarray], lo: int, hi: int) -> np.ndarray:
+        x, n, apart, linked, label, at = (v[lo:hi] for v in c[2:])
+        if (label == label[0]).all():
+            return np.zeros((0, 2), dtype=np.int64)
         found = []
-        open_ = [r for r in held if not r[3]]
-        for x, n, apart, _, label, diff in open_:
-            for y, m, far, linked, other, more in held:
-                if other != label and (linked or x < y):
-                    differ = apart + far - 2 * len(diff & more)
-                    if den * (n + m - differ) >= num * (n + m + differ):
-                        found.append((x, y))
-        return found
+        for i in np.flatnonzero(~linked):
+            most = (den - num) * (n + n[i]) // (den + num)
+            shared = -((most - apart - apart[i]) // 2)
+            able = (shared <= np.minimum(apart - at, apart[i] - at[i])) & (np.abs(apart - apart[i]) <= most)
+            able &= (label != label[i]) & (linked | (x > x[i]))
+            found.append(np.stack([np.full(able.sum(), x[i]), x[able]], axis=1))
+        return np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
 
     def run(batches):
-        key, held, hot = None, [], None
-        a: list[int] = []
-        b: list[int] = []
-        flags: list[bool] = []
-
-        def close() -> None:
-            if hot is None and len(held) > 1 and len({r[4] for r in held}) > 1:
-                for x, y in links([(*r[:5], set(np.frombuffer(r[5], "<u8").tolist())) for r in held]):
-                    a.append(x)
-                    b.append(y)
-                    flags.append(False)
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(flags, pa.bool_())], ["a", "b", "hot"])
-            a.clear(), b.clear(), flags.clear()
-            return batch
+        held: list[np.ndarray] | None = None
+        crowd: tuple[int, int, int] | None = None  # the place that is being crowded, and the least there
+
+        def crowded(c: list[np.ndarray], lo: int, hi: int, least: int) -> np.ndarray:
+            return np.stack([np.full(hi - lo, least), c[2][lo:hi]], axis=1)
+
+        def taken(c: list[np.ndarray], last: bool):
+            """Pairs of whole places, and the rows of the last one if it may go on."""
+            nonlocal crowd
+            near, hot = [], []
+            new = np.ones(len(c[0]), dtype=bool)
+            new[1:] = (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])
+            starts = np.append(np.flatnonzero(new), len(new))
+            rest = None
+            sizes = np.diff(starts)
+            for r in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == len(sizes) - 1) | (np.arange(len(sizes)) == 0)):
+                lo, hi = starts[r], starts[r + 1]
+                key = (c[0][lo], c[1][lo])
+                if crowd and crowd[:2] == key:
+                    hot.append(crowded(c, lo, hi, crowd[2]))
+                elif hi - lo > MEETING:
+                    crowd = (*key, c[2][lo])
+                    hot.append(crowded(c, lo, hi, crowd[2]))
+                elif r == len(sizes) - 1 and not last:
+                    rest = [v[lo:hi] for v in c]
+                else:
+                    near.append(place(c, lo, hi))
+            pairs = [np.unique(np.concatenate(k), axis=0) if k else np.zeros((0, 2), dtype=np.int64) for k in (near, hot)]
+            flags = np.repeat([False, True], [len(k) for k in pairs])
+            both = np.concatenate(pairs)
+            return rest, pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(flags)], ["a", "b", "hot"])
 
         for batch in batches:
-            for hub, element, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (hub, element):
-                    close()
-                    key, held, hot = (hub, element), [], None
-                if hot is None:
-                    held.append(row)
-                    if len(held) > MEETING:
-                        hot = held[0][0]
-                        pending, held = held[1:], []
-                    else:
-                        continue
-                else:
-                    pending = [row]
-                for r in pending:
-                    a.append(hot)
-                    b.append(r[0])
-                    flags.append(True)
-            yield out()
-        close()
-        yield out()
+            if batch.num_rows:
+                c = [v.to_numpy(zero_copy_only=False) for v in batch.columns]
+                if held:
+                    c = [np.concatenate(v) for v in zip(held, c, strict=True)]
+                held, out = taken(c, False)
+                yield out
+        if held:
+            yield taken(held, True)[1]
 
     dealt = rows.repartition("hub", "element").sortWithinPartitions("hub", "element", "x")
     return dealt.mapInArrow(run, "a bigint, b bigint, hot boolean").where("a <> b").distinct()
@@ -441,22 +433,24 @@ def linked_groups(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
         held = held.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
         apart = held.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("of"))
         apart = apart.where("lo <> hi and open > 0 and of > 1").select("hub")
-        found = keep(met(meetings(held.join(apart, "hub", "left_semi"), t), t), f"met-{n}")
-        links.append(found.where("not hot").select("a", "b"))
+        found = keep(met(held.join(apart, "hub", "left_semi"), t), f"met-{n}")
+        near = found.where("not hot").select(F.col("a").alias("hub"), F.col("b").alias("x"))
+        near = keep(compared(sets, near, shingle, t).where("linked").select(F.col("hub").alias("a"), F.col("x").alias("b")), f"near-{n}")
+        links.append(near)
         pairs = found.where("hot").select(F.col("a").alias("hub"), F.col("b").alias("x"))
         pairs = pairs.join(_all(compared_with).select("hub", "x"), ["hub", "x"], "left_anti")
         n += 1
         pairs = keep(pairs, f"pairs-{n}")
         if pairs.isEmpty():
             break
-    if not found.where("not hot").isEmpty():
+    if not near.isEmpty():
         labels = components(_all(links), scratch, "graph")
     grouped = classes.join(labels.withColumnRenamed("node", "_k"), "_k", "left").withColumn("label", F.coalesce("label", "_k"))
     least = grouped.groupBy("label").agg(F.min("_d").alias("component"))
     per_class = keep(grouped.join(least, "label").select(*classed, "component"), "per-class")
     out = printed.join(per_class, classed, "left")
     whole = F.when(F.col("_d").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("_d")).otherwise(F.col("component"))
-    drop(*[f"{name}-{k}" for k in range(n + 1) for name in ("pairs", "members", "met")])
+    drop(*[f"{name}-{k}" for k in range(n + 1) for name in ("pairs", "members", "met", "near")])
     return out.select("_d", "_t", "n", whole.cast("long").alias("component"))
 
 
