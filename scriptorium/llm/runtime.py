@@ -16,6 +16,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from scriptorium.session import ship
+
 #: Rows and bytes of one Arrow batch; bounds what a Python worker holds at once.
 BATCH_ROWS = 2048
 BATCH_BYTES = 4 << 20
@@ -31,7 +33,8 @@ Batches = Iterator[pa.RecordBatch]
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Sets the batch limits that the operators' memory bounds assume."""
+    """Sets the batch limits that the operators' memory bounds assume, and sends the package to the executors."""
+    ship(spark)
     for key, value in ARROW_CONF.items():
         spark.conf.set(key, value)
     return spark
