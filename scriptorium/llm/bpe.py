@@ -11,8 +11,8 @@ is settled and emitted, so the lookahead is bounded by the longest token.
 States and their transitions are made when they are first met and kept, up to
 ``MAX_STATES``; workers also keep the ids of the pieces they met last.
 
-Decoding goes token by token through an incremental UTF-8 machine; its
-transitions by whole tokens are kept as well.
+Decoding joins the tokens' bytes; an incremental UTF-8 machine tells where the
+last complete sequence ends, so that a stream can be decoded push by push.
 
 Defined results: a null text is an empty one (no ids, empty bytes); repeated rows
 are encoded each for itself; columns other than the id and the text are not read.
@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.runtime import tuned, type_of
 
-MAX_STATES = 200_000
-CACHED_PIECES = 300_000
+MAX_STATES = 400_000
+CACHED_PIECES = 600_000
+#: Above any rank.
+NEVER = 1 << 60
 
 
 def read_ranks(file: str) -> dict[bytes, int]:
@@ -73,33 +75,65 @@ class Transducer:
                 node = after
             self.token[node] = rank
         self._fits: dict[tuple[int, int], bool] = {}
+        self._made: dict[int, tuple | None] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.start = State(((0, -1, ()),))
         self.states: dict[tuple[Live, ...], State] = {self.start.live: self.start}
 
-    def merged(self, data: bytes) -> list[int]:
-        """The merges carried out plainly, lowest rank first; only for tokens and pairs of tokens."""
+    def _spines(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]] | None:
+        """First and last part of a token while the merges (lowest rank first) make it, each with the rank that ends it.
+
+        None if they do not make it from its bytes.
+        """
+        if token in self._made:
+            return self._made[token]
+        data, ranks = self.bytes_of[token], self.ranks
         parts = [data[i : i + 1] for i in range(len(data))]
-        ranks = self.ranks
+        firsts, lasts = [], []
         while len(parts) > 1:
-            found = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:], strict=False)]
+            found = [ranks.get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
             best = min(found)
-            if best == 1 << 60:
+            if best == NEVER:
                 break
             at = found.index(best)
+            if at == 0:
+                firsts.append((parts[0], best))
+            if at == len(parts) - 2:
+                lasts.append((parts[-1], best))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        made = None
+        if len(parts) == 1:
+            made = ([*firsts, (data, NEVER)], [*lasts, (data, NEVER)])
+        self._made[token] = made
+        return made
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether the merges leave ``right`` whole, and after ``left`` (-1: nothing before it)."""
+        """Whether the merges leave ``right`` whole, and after ``left`` (-1: nothing before it).
+
+        They do unless, while both are made, the last part of ``left`` and the first of ``right`` are merged before
+        either is merged within its token (of equal ranks, what stands further left goes first).
+        """
         key = (left, right)
         if (known := self._fits.get(key)) is None:
-            if left < 0:
-                known = self.merged(self.bytes_of[right]) == [right]
-            else:
-                known = self.fits(-1, right) and self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            own = self._spines(right)
+            known = own is not None
+            if known and left >= 0:
+                lasts, firsts = self._spines(left)[1], own[0]
+                i = j = 0
+                while True:
+                    (p, p_ends), (q, q_ends) = lasts[i], firsts[j]
+                    joined = self.ranks.get(p + q, NEVER)
+                    if joined < p_ends and joined <= q_ends and joined < NEVER:
+                        known = False
+                        break
+                    if p_ends == q_ends == NEVER:
+                        break
+                    if p_ends <= q_ends:
+                        i += 1
+                    else:
+                        j += 1
             if len(self._fits) >= MAX_STATES:
                 self._fits.clear()
             self._fits[key] = known
@@ -199,38 +233,38 @@ class Utf8Machine:
 
 
 class StreamDecoder:
-    """Ids in, text out, as far as it is complete; ``finish`` ends the stream."""
+    """Ids in, text out, as far as it is complete; ``finish`` ends the stream.
+
+    What is kept between two pushes is the sequence that the machine is within, three bytes at most; everything before
+    it is complete and decoded at once.
+    """
 
-    def __init__(self, bytes_of: dict[int, bytes], known: dict | None = None):
+    def __init__(self, bytes_of: dict[int, bytes]):
         self.bytes_of = bytes_of
-        self.known = {} if known is None else known
-        self.state = Utf8Machine.START
+        self.rest = b""
 
     def push(self, ids: list[int]) -> str:
-        out = []
-        state, known = self.state, self.known
-        whole = state == Utf8Machine.START
-        for i in ids:
-            key = i if whole else (state, i)
-            if (move := known.get(key)) is None:
-                move = known[key] = self._through(state, i)
-            state, text = move
-            whole = state is Utf8Machine.START
-            out.append(text)
-        self.state = state
-        return "".join(out)
-
-    def _through(self, state: tuple, i: int) -> tuple[tuple, str]:
-        text = ""
-        for byte in self.bytes_of[i]:
-            state, more = Utf8Machine.step(state, byte)
-            text += more
-        return (Utf8Machine.START if state == Utf8Machine.START else state), text
+        data = self.rest + b"".join(map(self.bytes_of.__getitem__, ids))
+        cut = len(data) - self._open(data[-3:])
+        self.rest = data[cut:]
+        return data[:cut].decode("utf-8", "replace")
+
+    @staticmethod
+    def _open(tail: bytes) -> int:
+        """Bytes at the end that are the begin of a sequence."""
+        for n in range(len(tail), 0, -1):
+            state = Utf8Machine.START
+            whole = ""
+            for byte in tail[-n:]:
+                state, out = Utf8Machine.step(state, byte)
+                whole += out
+            if state != Utf8Machine.START and not whole:
+                return n
+        return 0
 
     def finish(self) -> str:
-        cut = self.state != Utf8Machine.START
-        self.state = Utf8Machine.START
-        return "�" if cut else ""
+        out, self.rest = self.rest.decode("utf-8", "replace"), b""
+        return out
 
 
 @cache
@@ -242,9 +276,22 @@ def _encoder(file: str, pattern: str):
 
 
 @cache
-def _decoder(file: str) -> tuple[dict[int, bytes], dict]:
-    """What one worker keeps for decoding: tokens, and the machine's transitions by tokens so far."""
-    return {rank: token for token, rank in read_ranks(file).items()}, {}
+def _tokens(file: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(file).items()}
+
+
+def _encoded(texts: pa.Array, file: str, pattern: str) -> list[bytes]:
+    pieces, ids = _encoder(file, pattern)
+    get = ids.__getitem__
+    return [b"".join(map(get, pieces(text))) if text else b"" for text in texts.to_pylist()]
+
+
+def _decoded(packed: list[bytes], bytes_of: dict[int, bytes]) -> list[str]:
+    out = []
+    for raw in packed:
+        decoder = StreamDecoder(bytes_of)
+        out.append(decoder.push(np.frombuffer(raw, "<u4").tolist()) + decoder.finish())
+    return out
 
 
 def encode(docs: DataFrame, file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,29 +299,48 @@ def encode(docs: DataFrame, file: str, pattern: str, *, id_col: str = "doc_id",
     tuned(docs.sparkSession)
 
     def run(batches):
-        pieces, ids = _encoder(file, pattern)
-        get = ids.__getitem__
         for batch in batches:
-            packed = [b"".join(map(get, pieces(text))) if text else b"" for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], [id_col, "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_encoded(batch.column(1), file, pattern), pa.binary())], [id_col, "ids"])
 
     return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {type_of(docs, id_col)}, ids binary")
 
 
-def decode(encoded: DataFrame, file: str, *, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, text, and the columns of ``keep``) from what ``encode`` gives."""
+def encode_arrays(docs: DataFrame, file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids): ids as an array."""
+    tuned(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            packed = _encoded(batch.column(1), file, pattern)
+            n = np.array([len(x) // 4 for x in packed], dtype=np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), ids], [id_col, "n_tokens", "ids"])
+
+    return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {type_of(docs, id_col)}, n_tokens bigint, ids array<int>")
+
+
+def decode(encoded: DataFrame, file: str, *, id_col: str = "doc_id") -> DataFrame:
+    """(id, text) from what ``encode`` gives."""
+    tuned(encoded.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_decoded(batch.column(1).to_pylist(), _tokens(file)), pa.string())], [id_col, "text"])
+
+    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {type_of(encoded, id_col)}, text string")
+
+
+def round_trip(docs: DataFrame, file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, text): both steps in one worker."""
+    tuned(docs.sparkSession)
 
     def run(batches):
-        bytes_of, known = _decoder(file)
         for batch in batches:
-            texts = []
-            for raw in batch.column(1).to_pylist():
-                decoder = StreamDecoder(bytes_of, known)
-                texts.append(decoder.push(np.frombuffer(raw, "<u4").tolist()) + decoder.finish())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:]], [id_col, "text", *keep])
+            ids = _encoded(batch.column(1), file, pattern)
+            bytes_of = _encoder(file, pattern)[1].transducer.bytes_of
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(_decoded(ids, bytes_of), pa.string())], [id_col, "ids", "text"])
 
-    kept = "".join(f", `{c}` {type_of(encoded, c)}" for c in keep)
-    return encoded.select(F.col(id_col), F.col("ids").alias("_ids"), *keep).mapInArrow(run, f"`{id_col}` {type_of(encoded, id_col)}, text string{kept}")
+    return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {type_of(docs, id_col)}, ids binary, text string")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,8 +348,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     file, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    there = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), file, pattern)
-    back = decode(there, file, keep=("ids",))
+    back = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), file, pattern)
     return back.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
