@@ -8,14 +8,15 @@ Candidates.  Two sets of sizes n >= m with similarity t or more differ in at
 most ``H = (1 - t) / (1 + t) * (n + m)`` elements.  Sizes fall into bands of
 ratio 1 / t, so a set's partners that are not larger lie in its own band or the
 one below.  For each band the universe of shingles is hashed into more than H
-segments, and of two sets that differ in at most H elements some segment agrees,
-one which is not empty as long as a set has more than H segments that are not.
-A set is indexed by the contents of its segments in its own band and the next.
-Where that would leave segments with too few shingles to tell sets apart, half as many
-segments are used, with their one-deletion neighbourhoods (a segment then counts
-for two differences); the cheaper allocation is chosen for each band.  Sets that
-have too few segments for the count are found beforehand, and their bands index
-deletions, and empty segments, as well.
+segments, and of two sets that differ in at most H elements one of any H + 1
+segments agrees.  A set is indexed by the contents of its segments in its own
+band and the next.  Segments with few shingles tell little, so as many sizes of
+them as can be are left out, as long as most sets keep more than H others; in
+bands where single shingles are not enough either, half as many segments are used
+with their one-deletion neighbourhoods, and one with two shingles or more accounts
+for two differences.  Sets that keep too few segments are found beforehand: they,
+and only they, look for the small ones, or with deletions, or for empty ones too,
+as far as they need, and their bands index these for them.
 
 Links.  Sets with a signature in common are not paired with each other but with
 the least of them, their hub, and the exact difference from it is computed.
@@ -41,7 +42,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 from functools import cache, reduce
-from math import ceil, exp, sqrt
+from math import ceil, exp, factorial, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -59,19 +60,20 @@ SIMILARITY = Fraction(4, 5)
 MEETING = 256
 #: Members of a hub that are compared in one run of rows.
 HUB_PART = 256
-#: Fewest shingles a segment should have on average to be compared as it is.
-LEAST_SEGMENT = 3.0
+#: Segments of up to so many shingles less one are left out where the others are enough by so many deviations; none may be lacking but by chance.
+MOST_LEAST, MARGIN, SAFE = 4, 1.0, 4.5
 
 _U = np.uint64
 
 
 @dataclass(frozen=True)
 class Band:
-    """Sets of ``lo < size <= hi``: number of segments, and whether deletions are indexed."""
+    """Sets of ``lo < size <= hi``: number of segments, fewest shingles of one that counts, and whether deletions are indexed."""
 
     lo: int
     hi: int
     segments: int
+    least: int
     deletions: bool
 
 
@@ -97,23 +99,19 @@ class Bands:
             self.bands.append(self._allocated(lo, hi))
 
     def _allocated(self, lo: int, hi: int) -> Band:
-        """The cheaper of exact segments and half as many with deletions."""
-        exact = self._enough(lo, hi, 1)
-        if exact and hi / exact >= LEAST_SEGMENT:
-            return Band(lo, hi, exact, False)
-        half = self._enough(lo, hi, 2) or (self.differ(2 * hi) + 1)
-        rows_exact, rows_half = exact or hi, half + hi
-        return Band(lo, hi, exact, False) if exact and rows_exact * LEAST_SEGMENT < rows_half else Band(lo, hi, half, True)
-
-    def _enough(self, lo: int, hi: int, worth: int) -> int:
-        """So many segments that nearly all sets have as many non-empty ones as they need; 0 if that takes too many."""
-        need = [(n, -(-(self.differ(2 * n) + 1) // worth)) for n in (lo + 1, hi)]
-        m = max(k for _, k in need)
-        most = 2 * m + 4
-        while m <= most:
-            if all(m - (e := m * exp(-n / m)) - 4 * sqrt(e) >= k or m == 1 == k for n, k in need):
+        """Segments as they are, the small ones left out as far as most sets can do without; where single shingles do not do, deletions."""
+        for least in range(MOST_LEAST, 0, -1):
+            if m := self._enough(lo, hi, least, MARGIN if least > 1 else SAFE):
+                return Band(lo, hi, m, least, False)
+        return Band(lo, hi, -(-(self.differ(2 * hi) + 1) // 2) + 1, 1, True)
+
+    def _enough(self, lo: int, hi: int, least: int, margin: float) -> int:
+        """So many segments that sets keep as many of ``least`` shingles as they need, by ``margin`` deviations; 0 if there is no such number."""
+        need = [(n, self.differ(2 * n) + 1) for n in (lo + 1, hi)]
+        for m in range(max(k for _, k in need), 2 * hi // (least + 1) + 1):
+            shares = [1 - sum(exp(-n / m) * (n / m) ** j / factorial(j) for j in range(least)) for n, _ in need]
+            if all(m * p - margin * sqrt(m * p * (1 - p)) >= k for p, (_, k) in zip(shares, need, strict=True)):
                 return m
-            m += 1
         return 0
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
@@ -164,22 +162,38 @@ class Segments:
         np.add.at(self.sum, self.place, self.element)
         self.count = np.bincount(self.place, minlength=len(self.sum))
 
-    def _signed(self, sums: np.ndarray, places: np.ndarray) -> np.ndarray:
-        return T.mix(sums ^ T.mix((places % self.band.segments).astype(_U) + _U(self.number << 32)))
-
-    def rows(self, deletions: bool, empties: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(text, signature): contents of segments, with one shingle less, and of empty ones."""
-        used = np.arange(len(self.sum)) if empties else np.flatnonzero(self.count)
-        yield used // self.band.segments, self._signed(self.sum[used], used)
-        if deletions:
-            far = (self.count[self.place] > 1) | empties
-            place = self.place[far]
-            yield place // self.band.segments, self._signed(self.sum[place] - self.element[far], place)
-
-    def worth(self) -> np.ndarray:
-        """Differences that each set's segments account for."""
+    def _signed(self, sums: np.ndarray, places: np.ndarray, space: int) -> np.ndarray:
+        return T.mix(sums ^ T.mix((places % self.band.segments).astype(_U) + _U(2 * self.number + space << 32)))
+
+    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(set, signature): contents of the segments that count, and with one shingle less where that is indexed."""
+        used = np.flatnonzero(self.count >= self.band.least)
+        yield used // self.band.segments, self._signed(self.sum[used], used, 0)
+        if self.band.deletions:
+            yield self._less(0, 2)
+
+    def _less(self, space: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        far = self.count[self.place] >= least
+        place = self.place[far]
+        return place // self.band.segments, self._signed(self.sum[place] - self.element[far], place, space)
+
+    def further_rows(self, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What sets look for that have too few segments: small ones (1), all with one shingle less (2), empty ones (3)."""
+        if level == 1:
+            used = np.flatnonzero((self.count > 0) & (self.count < self.band.least))
+        else:
+            used = np.arange(len(self.sum)) if level == 3 else np.flatnonzero(self.count)
+            yield self._less(1, 1 if level == 3 else 2)
+        yield used // self.band.segments, self._signed(self.sum[used], used, 1)
+
+    def _worth(self, least: int, deletions: bool) -> np.ndarray:
         grid = self.count.reshape(-1, self.band.segments)
-        return (grid > 0).sum(axis=1) + ((grid > 1).sum(axis=1) if self.band.deletions else 0)
+        return (grid >= least).sum(axis=1) + ((grid > 1).sum(axis=1) if deletions else 0)
+
+    def lacks(self, differ: np.ndarray) -> np.ndarray:
+        """The level of further rows that a set needs, for its segments to account for more than it may differ in; 0 for none."""
+        enough = [self._worth(self.band.least, self.band.deletions) > differ, self._worth(1, self.band.deletions) > differ, self._worth(1, True) > differ]
+        return np.select(enough, [0, 1, 2], 3)
 
 
 def _text_rows(batch: pa.RecordBatch, shingle: int):
@@ -189,7 +203,7 @@ def _text_rows(batch: pa.RecordBatch, shingle: int):
 
 
 def prints(docs: DataFrame, shingle: int, t: Fraction) -> DataFrame:
-    """(_d, _t, n, f1, f2, lacks): the size of each row's set, two sums over it, and its band if it has too few segments there."""
+    """(_d, _t, n, f1, f2, lacks): the size of each row's set, two sums over it, and if it has too few segments its band, times four, and what it needs further."""
 
     def run(batches):
         bands = _bands(t.numerator, t.denominator)
@@ -202,8 +216,8 @@ def prints(docs: DataFrame, shingle: int, t: Fraction) -> DataFrame:
                 for b in np.unique(number[number >= 0]):
                     member = number == b
                     own, index, at = member[text], np.cumsum(member) - 1, np.flatnonzero(member)
-                    worth = Segments(int(b), bands.bands[b], index[text[own]], hashed[own], len(at)).worth()
-                    lacks[at[worth <= [bands.differ(2 * int(k)) for k in n[at]]]] = b
+                    found = Segments(int(b), bands.bands[b], index[text[own]], hashed[own], len(at)).lacks(np.array([bands.differ(2 * int(k)) for k in n[at]]))
+                    lacks[at] = np.where(found > 0, 4 * b + found, -1)
                 for values, column in zip(out, (n, _sums(T.mix(hashed), first).view(np.int64), _sums(T.mix(hashed ^ _U(0x1234567)), first).view(np.int64), lacks), strict=True):
                     values.append(column)
             columns = [pa.array(np.concatenate(x)) if x else pa.array([], pa.int64()) for x in out]
@@ -219,8 +233,8 @@ _ONLY_INDEXED = 1 << 62
 _MADE = 1 << 61
 
 
-def signatures(sets: DataFrame, shingle: int, t: Fraction, lacking: set[int]) -> DataFrame:
-    """(sig, y): the segment signatures of each set (_k, _text) in its band and the next."""
+def signatures(sets: DataFrame, shingle: int, t: Fraction, lacking: dict[int, int]) -> DataFrame:
+    """(sig, y): the segment signatures of each set (_k, _text) in its band and the next. ``lacking``: bands in which some set needs further ones, and up to which level."""
 
     def run(batches):
         bands = _bands(t.numerator, t.denominator)
@@ -242,8 +256,15 @@ def signatures(sets: DataFrame, shingle: int, t: Fraction, lacking: set[int]) ->
                         index = np.cumsum(member) - 1
                         at = np.flatnonzero(member)
                         cut = Segments(int(target), band, index[text[own]], hashed[own], len(at))
-                        for row, sig in cut.rows(band.deletions or target in lacking, target in lacking):
-                            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(keys[lo + at[row]] + mark)], ["sig", "y"])
+                        marks = np.full(len(at), mark, dtype=np.int64)
+                        made = [(row, sig, marks) for row, sig in cut.rows()]
+                        if target in lacking:
+                            # only sets that lack segments look for these
+                            if not mark:
+                                marks = np.where(cut.lacks(np.array([bands.differ(2 * int(k)) for k in n[at]])) > 0, 0, _ONLY_INDEXED)
+                            made += [(row, sig, marks) for row, sig in cut.further_rows(lacking[target])]
+                        for row, sig, marked in made:
+                            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(keys[lo + at[row]] + marked[row])], ["sig", "y"])
 
     return sets.select("_k", F.lit(0).alias("_"), "_text").mapInArrow(run, "sig bigint, y bigint")
 
@@ -418,7 +439,7 @@ def linked_groups(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
     made = classes.where("_k <> _d").select("_d", "_t", "_k")
     sets = sets.withColumn("_k", F.col("_d")) if made.isEmpty() else sets.join(made, ["_d", "_t"], "left").withColumn("_k", F.coalesce("_k", "_d"))
     sets = sets.select("_k", "_text")
-    lacking = {r[0] for r in printed.where("lacks >= 0").select("lacks").distinct().collect()}  # bands: some hundred at most
+    lacking = {r[0]: r[1] for r in printed.where("lacks >= 0").groupBy(F.floor(F.col("lacks") / 4)).agg(F.max(F.col("lacks") % 4)).collect()}  # bands: some hundred at most
 
     pairs = keep(hub_pairs(signatures(sets, shingle, t, lacking)), "pairs-0")
     links = [of_id.select(F.col("_k").alias("a"), (-1 - F.pmod(F.xxhash64("_d"), F.lit(_MADE))).alias("b"))]
@@ -429,6 +450,7 @@ def linked_groups(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
         links.append(members.where("linked").select(F.col("hub").alias("a"), F.col("x").alias("b")))
         labels = components(_all(links), scratch, f"graph-{n}")
         compared_with.append(members)
+        links = [labels.select(F.col("node").alias("a"), F.col("label").alias("b"))]
         held = members if n == 0 else _all(compared_with).join(_few(pairs.select("hub").distinct()), "hub", "left_semi")
         held = held.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
         apart = held.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("of"))
