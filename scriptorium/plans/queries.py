@@ -219,8 +219,8 @@ def sentence_scores(spark, d):
 
 
 _SMOOTH = "sm AS (SELECT *, avg(score) OVER (PARTITION BY id ORDER BY sent ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM sc)"
-_REGIONS = f"""{_SMOOTH}, ri AS (SELECT *, sent - row_number() OVER (PARTITION BY id ORDER BY sent) AS island FROM sm WHERE smooth >= 0.35),
-rg AS (SELECT id, min(sent) AS first, max(sent) AS last, count(*) AS n, max(smooth) AS top, coalesce(avg(score), 0.0) AS mean, CAST(sum(words) AS BIGINT) AS words FROM ri GROUP BY id, island HAVING max(smooth) >= 0.5 AND (count(*) >= 2 OR avg(score) >= 0.7))"""
+_REGIONS = f"""{_SMOOTH}, ri AS (SELECT *, sent - row_number() OVER (PARTITION BY id ORDER BY sent) AS island FROM sm WHERE smooth >= 0.22),
+rg AS (SELECT id, min(sent) AS first, max(sent) AS last, count(*) AS n, max(smooth) AS top, coalesce(avg(score), 0.0) AS mean, CAST(sum(words) AS BIGINT) AS words FROM ri GROUP BY id, island HAVING max(smooth) >= 0.26 AND (count(*) >= 2 OR avg(score) >= 0.3))"""
 
 
 @query(f"WITH {O.CHATS}, {O.scores()}, {_SMOOTH} SELECT id, sent, round(smooth, 6) AS smooth FROM sm")
@@ -230,7 +230,8 @@ def smoothing(spark, d):
 
 @query(f"WITH {O.CHATS}, {O.scores()}, {_REGIONS} SELECT id, first, last, n, round({O.rounded('mean', 3)}, 6) AS score, words FROM rg")
 def regions(spark, d):
-    return localize.regions(localize.sentence_scores(chats(spark, d))).select("id", "first", "last", "n", six(F.col("score")).alias("score"), "words")
+    """Thresholds are lower than the usual ones, which no invented prose reaches."""
+    return localize.regions(localize.sentence_scores(chats(spark, d)), 0.26, 0.22, 0.3).select("id", "first", "last", "n", six(F.col("score")).alias("score"), "words")
 
 
 _W = "words * (0.5 + 0.5 * confidence)"
