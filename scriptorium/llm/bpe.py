@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.runtime import tuned, type_of
 
-MAX_STATES = 400_000
-CACHED_PIECES = 600_000
+MAX_STATES = 200_000
+CACHED_PIECES = 350_000
 #: Above any rank.
 NEVER = 1 << 60
 
