@@ -14,7 +14,7 @@ def test_query_agrees_with_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_query_runs(spark, name):
-    assert queries.QUERIES[name](spark, DATA).schema.fieldNames()
+    assert queries.QUERIES[name](spark, DATA).count() >= 0
 
 
 def test_entry(spark):
