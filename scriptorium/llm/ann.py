@@ -197,4 +197,4 @@ def search(vectors: DataFrame, scratch: Scratch, is_query: Column, *, id_col: st
 def op8_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth vector against all."""
     scratch = Scratch(spark, "op8")
-    return scratch.owned_by(search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), scratch, F.col("vec_id") % 20 == 0))
+    return scratch.until_exit(search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), scratch, F.col("vec_id") % 20 == 0))

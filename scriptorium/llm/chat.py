@@ -165,7 +165,7 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"),
         "formatted_chars",
     )
-    return scratch.owned_by(out)
+    return scratch.until_exit(out)
 
 
 def _sql_escaped(column: str) -> str:

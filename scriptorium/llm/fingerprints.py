@@ -123,7 +123,7 @@ def op4_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch in batches_of(source, BATCHES):
         marks.append(index.ingest(batch, history))
         history = batch if history is None else history.unionByName(batch)
-    return scratch.owned_by(suffixarray.digested(source, _all(marks)))
+    return scratch.until_exit(suffixarray.digested(source, _all(marks)))
 
 
 ORACLE = suffixarray.ORACLE

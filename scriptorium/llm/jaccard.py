@@ -487,7 +487,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; shingles of 3 words, similarity 0.9."""
     scratch = Scratch(spark, "op2")
     groups = linked_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch, shingle=3, similarity=Fraction(9, 10))
-    return scratch.owned_by(groups.select(F.col("_d").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")))
+    return scratch.until_exit(groups.select(F.col("_d").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")))
 
 
 ORACLE = r"""

@@ -8,9 +8,9 @@ a machine-local folder on a cluster.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -62,8 +62,8 @@ class Scratch:
 
     ``keep`` writes a DataFrame and returns it as read back, ``drop`` deletes
     tables by name once later ones have replaced them.  Whatever is left goes
-    when the run's result is no longer referenced, or stays for the cluster's
-    own clean-up of the shared folder if the driver dies.
+    when the application ends, or stays for the cluster's own clean-up of the
+    shared folder if the driver dies.
     """
 
     def __init__(self, spark: SparkSession, kind: str):
@@ -90,9 +90,9 @@ class Scratch:
         self.drop(*[n for n in self.names if n != name])
         return out
 
-    def owned_by(self, df: DataFrame) -> DataFrame:
-        """Deletes what is left once ``df`` is garbage."""
-        weakref.finalize(df, _quietly_delete, self.spark, self.root)
+    def until_exit(self, df: DataFrame) -> DataFrame:
+        """Deletes what is left when the application ends: frames derived from ``df`` read it as long."""
+        atexit.register(_quietly_delete, self.spark, self.root)
         return df
 
 

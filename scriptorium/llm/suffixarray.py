@@ -78,7 +78,7 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; windows of 50 words."""
     scratch = Scratch(spark, "op3")
     source = P.keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    return scratch.owned_by(digested(source, repeats(source, scratch)))
+    return scratch.until_exit(digested(source, repeats(source, scratch)))
 
 
 ORACLE = r"""

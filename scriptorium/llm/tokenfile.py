@@ -251,4 +251,4 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op5")
     files = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch, public_tokenizers.path("word_bpe_49k.json"))
     out = files.documents().select(F.col("_id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    return scratch.owned_by(out)
+    return scratch.until_exit(out)
