@@ -347,7 +347,7 @@ def _prefix(n: int, apart: int, linked: bool, t: Fraction) -> int:
     return apart - max(1, apart - (den - num) * n // num) + 1
 
 
-def met(members: DataFrame, t: Fraction) -> DataFrame:
+def met(members: DataFrame, t: Fraction, meeting: int) -> DataFrame:
     """(a, b, hot): sets that may be linked past their hub; at a place with too many, each with the least of them.
 
     Members (with labels; equal ones are linked already) meet at the elements of their prefixes.  Of two that meet, so many elements
@@ -390,7 +390,7 @@ def met(members: DataFrame, t: Fraction) -> DataFrame:
                 key = (c[0][lo], c[1][lo])
                 if crowd and crowd[:2] == key:
                     hot.append(crowded(c, lo, hi, crowd[2]))
-                elif hi - lo > MEETING:
+                elif hi - lo > meeting:
                     crowd = (*key, c[2][lo])
                     hot.append(crowded(c, lo, hi, crowd[2]))
                 elif r == len(sizes) - 1 and not last:
@@ -420,7 +420,7 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def linked_groups(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
+def linked_groups(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: Fraction = SIMILARITY, meeting: int | None = None) -> DataFrame:
     """(_d, _t, n, component) for each row: its id (null as it is), a hash of its text, the size of its set, the least id of its component."""
     keep, drop, t = scratch.keep, scratch.drop, similarity
     source = docs.select(F.col(id_col).cast("long").alias("_d"), F.xxhash64(text_col).alias("_t"), F.col(text_col).alias("_text"))
@@ -455,7 +455,7 @@ def linked_groups(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
         held = held.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
         apart = held.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("of"))
         apart = apart.where("lo <> hi and open > 0 and of > 1").select("hub")
-        found = keep(met(held.join(apart, "hub", "left_semi"), t), f"met-{n}")
+        found = keep(met(held.join(apart, "hub", "left_semi"), t, meeting or MEETING), f"met-{n}")
         near = found.where("not hot").select(F.col("a").alias("hub"), F.col("b").alias("x"))
         near = keep(compared(sets, near, shingle, t).where("linked").select(F.col("hub").alias("a"), F.col("x").alias("b")), f"near-{n}")
         links.append(near)
@@ -476,9 +476,9 @@ def linked_groups(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
     return out.select("_d", "_t", "n", whole.cast("long").alias("component"))
 
 
-def one_of_each_group(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
+def one_of_each_group(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: Fraction = SIMILARITY, meeting: int | None = None) -> DataFrame:
     """The rows of ``docs`` whose id is the least of its component, and those with a null id."""
-    groups = linked_groups(docs, scratch, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
+    groups = linked_groups(docs, scratch, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity, meeting=meeting)
     gone = scratch.keep(groups.where("component <> _d").select("_d").distinct(), "gone")
     return docs.join(_few(gone), docs[id_col].cast("long") == gone["_d"], "left_anti")
 
