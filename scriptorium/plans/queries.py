@@ -437,14 +437,14 @@ def _vectors(spark, d):
 @query()
 def train_cv(spark, d):
     """Cross-validated metrics of each fold."""
-    scored = learning.cross_validated(learning.folds(_vectors(spark, d), "key", "y"), epochs=100)
+    scored = learning.cross_validated(learning.folds(_vectors(spark, d), "key", "y"))
     return learning.metrics(scored.withColumn("predicted", (F.col("p") >= 0.5).cast("int")), "fold")
 
 
 @query()
 def model_scores(spark, d):
     """All documents by a model of all labelled ones."""
-    model = learning.fitted(_vectors(spark, d), epochs=100)
+    model = learning.fitted(_vectors(spark, d))
     return featurize(docs(spark, d)).select("id", model.probability(F.col("f")).alias("p"))
 
 
