@@ -434,7 +434,7 @@ def linked_groups(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
     classes = keep(classes.withColumn("_k", F.when(plain, F.col("_d")).otherwise(_MADE + F.pmod(F.xxhash64("_d", "_t"), F.lit(_MADE)))).drop("also"), "classes")
     of_id = known.join(several, "_d", "left_semi").select("_d", *classed).join(classes.select(*classed, "_k"), classed)
 
-    copies = known.join(classes.select("_d", "_t"), ["_d", "_t"], "left_anti").select("_d", "_t").distinct()
+    copies = printed.where("_d is not null").join(classes.select("_d", "_t"), ["_d", "_t"], "left_anti").select("_d", "_t").distinct()  # and rows without words
     sets = source.where(F.col("_d").isNotNull()).join(_few(copies), ["_d", "_t"], "left_anti")
     made = classes.where("_k <> _d").select("_d", "_t", "_k")
     sets = sets.withColumn("_k", F.col("_d")) if made.isEmpty() else sets.join(made, ["_d", "_t"], "left").withColumn("_k", F.coalesce("_k", "_d"))

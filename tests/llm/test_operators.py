@@ -78,6 +78,20 @@ def test_jaccard_components(spark, monkeypatch, n, t, meeting):
     assert {r._d: (r.n, r.component) for r in found} == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("first", [None, "text"])
+def test_jaccard_of_ids_with_an_empty_row(spark, first):
+    rng = random.Random(7)
+    rows, expected = [], set()
+    for k in range(0, 40, 2):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        own = [(k, " ".join(base)), (k, rng.choice([None, "", " "]))]
+        rows += [*(own if first else own[::-1]), (k + 1, " ".join([*base[:-1], "zz"]))]
+        expected |= {(k, k), (k + 1, k)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.linked_groups(docs, Scratch(spark, "t"), shingle=3, similarity=Fraction(9, 10)).where("n > 0").collect()
+    assert {(r._d, r.component) for r in found} == expected
+
+
 def test_passages_by_both_operators(spark):
     rng = random.Random(3)
     word = lambda: f"w{rng.randrange(5000)}"
