@@ -305,13 +305,21 @@ def encode(docs: DataFrame, file: str, pattern: str, *, id_col: str = "doc_id",
     return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {type_of(docs, id_col)}, ids binary")
 
 
+def checked(texts: pa.Array, packed: list[bytes], bytes_of: dict[int, bytes]) -> None:
+    """Decodes the ids of each text and compares: ids that do not give the text back are an error."""
+    for text, back in zip(texts.to_pylist(), _decoded(packed, bytes_of), strict=True):
+        if back != (text or ""):
+            raise ValueError(f"ids that decode to another text: {text!r:.80}")
+
+
 def encode_arrays(docs: DataFrame, file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids): ids as an array."""
+    """(id, n_tokens, ids): ids as an array, each text's decoded again and compared with it."""
     tuned(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             packed = _encoded(batch.column(1), file, pattern)
+            checked(batch.column(1), packed, _encoder(file, pattern)[1].transducer.bytes_of)
             n = np.array([len(x) // 4 for x in packed], dtype=np.int64)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), ids], [id_col, "n_tokens", "ids"])

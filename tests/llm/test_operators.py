@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,14 @@ def test_token_files_match_the_library(spark, monkeypatch):
         start += len(ids)
 
 
+def test_ids_of_another_text_are_an_error():
+    coder = bpe._encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)[1].transducer
+    packed = [np.array(coder.encode(t.encode()), "<u4").tobytes() for t in ("año", "", "")]
+    bpe.checked(pa.array(["año", None, ""]), packed, coder.bytes_of)
+    with pytest.raises(ValueError, match="another text"):
+        bpe.checked(pa.array(["ano", None, ""]), packed, coder.bytes_of)
+
+
 def test_byte_bpe_matches_the_library(spark):
     import tiktoken
 
