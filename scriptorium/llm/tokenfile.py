@@ -230,6 +230,24 @@ class TokenFiles:
 
         return self.blocks.select("shard", "before", "width", "null_ids", "doc_ids", "ids", "bounds").mapInArrow(read, "_id bigint, start bigint, ids binary")
 
+    def document(self, doc_id: int) -> DataFrame:
+        """(_id, start, ids) of the documents with one id: select finds their two offsets, no block's are expanded."""
+        starts = self.shard_starts()
+
+        def read(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    known = np.frombuffer(row["doc_ids"], "<i8")
+                    lo, hi = (row["null_ids"] + int(np.searchsorted(known, doc_id, side)) for side in ("left", "right"))
+                    bounds = EliasFano.from_bytes(row["bounds"])
+                    dtype, base = np.dtype("<u2" if row["width"] == 2 else "<u4"), starts[row["shard"]] + row["before"]
+                    for i in range(lo, hi):
+                        a, b = bounds[i - 1] if i else 0, bounds[i]
+                        ids = np.frombuffer(row["ids"], dtype, b - a, a * dtype.itemsize).astype("<u4").tobytes()
+                        yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([base + a], pa.int64()), pa.array([ids], pa.binary())], ["_id", "start", "ids"])
+
+        return self.blocks.select("shard", "before", "width", "null_ids", "doc_ids", "ids", "bounds").mapInArrow(read, "_id bigint, start bigint, ids binary")
+
 
 def write(docs: DataFrame, scratch: Scratch, file: str, *, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> TokenFiles:
     """Encodes the documents and writes them in ascending order of their (integer) id below the scratch folder."""

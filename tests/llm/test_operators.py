@@ -152,6 +152,16 @@ def test_token_files_match_the_library(spark, monkeypatch):
         start += len(ids)
 
 
+def test_one_document_of_the_token_files(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "BLOCK_IDS", 12000)
+    rows = [(i, f"doc {i} thhaen's " * (i % 7)) for i in range(900)] + [(5, "twice"), (None, "none"), (None, "")]
+    files = tokenfile.write(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"), P.path("word_bpe_49k.json"), shards=2)
+    whole = sorted(tuple(r) for r in files.documents().where("_id is not null").collect())
+    assert files.blocks.agg(F.max("n_docs")).first()[0] > 256
+    for i in (0, 5, 255, 256, 257, 450, 898, 899, 900):
+        assert sorted(tuple(r) for r in files.document(i).collect()) == [r for r in whole if r[0] == i]
+
+
 def test_ids_of_another_text_are_an_error():
     coder = bpe._encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)[1].transducer
     packed = [np.array(coder.encode(t.encode()), "<u4").tobytes() for t in ("año", "", "")]
