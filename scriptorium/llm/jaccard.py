@@ -23,10 +23,16 @@ the least of them, their hub, and the exact difference from it is computed.
 What this leaves are pairs of one hub that are not linked through it.  Of two
 such sets x and y with differences Dx and Dy from the hub, x and y differ in
 ``|Dx| + |Dy| - 2 |Dx & Dy|``, so linked ones share elements of Dx and Dy: they
-meet on a prefix of those, new elements first, which is short.  At a place where
-up to ``MEETING`` sets meet, those that can have enough in common by their numbers
-and places are compared exactly; a larger one takes its least member for a
-further hub, and so on until none is left.  No bucket is ever expanded to pairs.
+meet on a prefix of those, new elements first, which is short.  Each set brings a
+parity bitmap of ``BITS`` bits along: two sets differ in at least as many elements
+as their bitmaps do in bits, so of those that meet only pairs within reach by their
+numbers, places and bitmaps are compared exactly.  Where that leaves more than
+``DENSE`` pairs for each set of a place, only a least spanning forest of them (by
+the bitmaps' distance) is compared, and the hub's sets meet once more, under the
+labels that gives.  Places that are dense even then give a further hub, the least
+of them, to sets that hang together, and so does a place where more than ``MEETING``
+meet, and so on until none is left.  What a place gives is so never more than a
+multiple of the sets that meet there, however large a group is.
 
 Shingles are compared by 64-bit hashes of their words, lengths included.
 
@@ -51,13 +57,18 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import textcore as T
 from scriptorium.llm.components import components
-from scriptorium.llm.passages import BROADCAST_KEYS
-from scriptorium.llm.runtime import Scratch
+from scriptorium.llm.runtime import Scratch, few
 
 SHINGLE = 5
 SIMILARITY = Fraction(4, 5)
-#: Sets at one meeting place beyond which it gets a hub.
-MEETING = 256
+#: Sets at one meeting place beyond which it gets a hub; pairs for each set beyond which a place is dense.
+MEETING, DENSE = 2048, 64
+#: Places of up to so many sets are handled many at a time.
+SMALL = 12
+#: What a row of ``met`` says: compare the two, take the first for a hub of the second, let the hub's sets meet again.
+NEAR, HUB, AGAIN = 0, 1, 2
+#: Bits of a set's parity bitmap.
+BITS = 512
 #: Members of a hub that are compared in one run of rows.
 HUB_PART = 256
 #: Segments of up to so many shingles less one are left out where the others are enough by so many deviations; none may be lacking but by chance.
@@ -196,6 +207,12 @@ class Segments:
         return np.select(enough, [0, 1, 2], 3)
 
 
+def bitmaps(text: np.ndarray, hashed: np.ndarray, n_texts: int) -> np.ndarray:
+    """A row of ``BITS`` bits for each set, packed: whether an odd number of its elements falls on each."""
+    place = text * BITS + (T.mix(hashed ^ _U(0x5DEECE66D)) >> _U(32)).astype(np.int64) % BITS
+    return np.packbits((np.bincount(place, minlength=n_texts * BITS) & 1).astype(np.uint8).reshape(n_texts, BITS), axis=1)
+
+
 def _text_rows(batch: pa.RecordBatch, shingle: int):
     for lo, hi, words in T.words_of(batch.column(2), T.NON_SPACE, lower=True):
         text, hashed = shingle_sets(words, shingle)
@@ -294,29 +311,23 @@ def hub_pairs(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "y").mapInArrow(run, "hub bigint, x bigint").distinct()
 
 
-def _few(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
-
-
 def compared(sets: DataFrame, pairs: DataFrame, shingle: int, t: Fraction) -> DataFrame:
-    """(hub, x, n, apart, linked, prefix) for each pair: x's size, how many elements differ, and the first of those, new ones in x first."""
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_PART).alias("parts"))
-    dealt = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("x"), "parts").alias("part"), "x")
-    wanted = pairs.select(F.explode(F.array("hub", "x")).alias("_k")).distinct()
-    texts = sets.join(_few(wanted), "_k", "left_semi")
-    members = dealt.join(texts.withColumnRenamed("_k", "x"), "x").select("hub", "part", F.lit(1).alias("role"), "x", "_text")
-    hubs = dealt.select("hub", "part").distinct().join(texts.withColumnRenamed("_k", "hub"), "hub").select("hub", "part", F.lit(0).alias("role"), F.col("hub").alias("x"), "_text")
-    rows = members.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "x")
+    """(hub, x, n, apart, linked, prefix, bits) for each pair: x's size, how many elements differ, and the first of those, new ones in x first; x's bitmap."""
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_PART).alias("parts")).where("parts > 1")
+    dealt = pairs.join(few(parts), "hub", "left").select("hub", F.pmod(F.xxhash64("x"), F.coalesce("parts", F.lit(1))).alias("part"), F.lit(1).alias("role"), "x")
+    wanted = dealt.unionByName(dealt.select("hub", "part", F.lit(0).alias("role"), F.col("hub").alias("x")).distinct())
+    rows = sets.join(few(wanted), sets["_k"] == wanted["x"]).select("hub", "part", "role", "x", "_text").repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "x")
     num, den = t.numerator, t.denominator
 
     def run(batches):
         key = own = None
         for batch in batches:
             hub, part, role, x = (batch.column(i).to_numpy() for i in (0, 1, 2, 3))
-            out = {"hub": [], "x": [], "n": [], "apart": [], "linked": [], "prefix": []}
+            out = {"hub": [], "x": [], "n": [], "apart": [], "linked": [], "prefix": [], "bits": []}
             for lo, hi, words in T.words_of(batch.column(4), T.NON_SPACE, lower=True):
                 text, hashed = shingle_sets(words, shingle)
                 first = np.searchsorted(text, np.arange(hi - lo + 1))
+                bits = bitmaps(text, hashed, hi - lo)
                 for i in range(lo, hi):
                     mine = hashed[first[i - lo] : first[i - lo + 1]]
                     if role[i] == 0:
@@ -331,12 +342,12 @@ def compared(sets: DataFrame, pairs: DataFrame, shingle: int, t: Fraction) -> Da
                     apart = len(mine) + len(own) - 2 * shared
                     linked = den * shared >= num * (len(mine) + len(own) - shared)
                     least = _prefix(len(mine), apart, linked, t)
-                    for values, value in zip(out.values(), (hub[i], x[i], len(mine), apart, linked, np.concatenate([mine[~common][:least], own[kept]])[:least].view(np.int64)), strict=True):
+                    for values, value in zip(out.values(), (hub[i], x[i], len(mine), apart, linked, np.concatenate([mine[~common][:least], own[kept]])[:least].view(np.int64), bits[i - lo].tobytes()), strict=True):
                         values.append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), types, strict=True)], list(out))
 
-    return rows.mapInArrow(run, "hub bigint, x bigint, n bigint, apart bigint, linked boolean, prefix array<bigint>")
+    return rows.mapInArrow(run, "hub bigint, x bigint, n bigint, apart bigint, linked boolean, prefix array<bigint>, bits binary")
 
 
 def _prefix(n: int, apart: int, linked: bool, t: Fraction) -> int:
@@ -347,27 +358,104 @@ def _prefix(n: int, apart: int, linked: bool, t: Fraction) -> int:
     return apart - max(1, apart - (den - num) * n // num) + 1
 
 
-def met(members: DataFrame, t: Fraction, meeting: int) -> DataFrame:
-    """(a, b, hot): sets that may be linked past their hub; at a place with too many, each with the least of them.
+def _hanging_together(n: int, pairs: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the least one that it hangs together with by pairs of places."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[pairs[:, 0]], label[pairs[:, 1]])
+        after = label.copy()
+        np.minimum.at(after, pairs[:, 0], least)
+        np.minimum.at(after, pairs[:, 1], least)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
+def _spanning(n: int, pairs: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """A spanning forest of the pairs, the nearest first: every tree takes its nearest way out, until none has any."""
+    order = np.argsort(far, kind="stable")
+    pairs, label, taken = pairs[order], np.arange(n), []
+    while True:
+        ends = label[pairs]
+        pairs, ends = (v[ends[:, 0] != ends[:, 1]] for v in (pairs, ends))
+        if not len(pairs):
+            return np.concatenate(taken) if taken else np.zeros((0, 2), dtype=np.int64)
+        nearest = np.full(n, len(pairs))
+        for side in (0, 1):
+            np.minimum.at(nearest, ends[:, side], np.arange(len(pairs)))
+        used = np.unique(nearest[nearest < len(pairs)])
+        taken.append(pairs[used])
+        label = _hanging_together(n, ends[used])[label]
+
+
+@dataclass
+class Meeting:
+    """Rows of sets that meet: number of elements, of those apart from the hub, whether linked with it, label, place of the element in the prefix, bitmap."""
+
+    n: np.ndarray
+    apart: np.ndarray
+    linked: np.ndarray
+    label: np.ndarray
+    at: np.ndarray
+    bits: np.ndarray
+
+    def within_reach(self, i: np.ndarray, j: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs of rows may be linked past their hub, as one of them at least is not linked with it, and their bitmaps' distances."""
+        num, den = t.numerator, t.denominator
+        most = (den - num) * (self.n[i] + self.n[j]) // (den + num)
+        shared = -((most - self.apart[i] - self.apart[j]) // 2)
+        able = (shared <= np.minimum(self.apart[i] - self.at[i], self.apart[j] - self.at[j])) & (np.abs(self.apart[i] - self.apart[j]) <= most)
+        able = np.flatnonzero(able & (self.label[i] != self.label[j]) & ~(self.linked[i] & self.linked[j]))
+        differ = np.bitwise_count(self.bits[i[able]] ^ self.bits[j[able]]).sum(axis=1, dtype=np.int64)
+        near = differ <= most[able]
+        return able[near], differ[near]
+
+    def of_one_place(self, lo: int, hi: int, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the rows ``lo`` to ``hi``, and their distances."""
+        found, far = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        linked = self.linked[lo:hi]
+        for i in np.flatnonzero(~linked):
+            j = np.flatnonzero(linked | (np.arange(hi - lo) > i))
+            near, differ = self.within_reach(np.full(len(j), lo + i), lo + j, t)
+            found.append(np.stack([np.full(len(near), lo + i), lo + j[near]], axis=1))
+            far.append(differ)
+        return np.concatenate(found), np.concatenate(far)
+
+    def of_small_places(self, place: np.ndarray, small: np.ndarray, t: Fraction) -> np.ndarray:
+        """Pairs of all places that are ``small`` (by number of place)."""
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for d in range(1, SMALL):
+            i = np.flatnonzero((place[d:] == place[:-d]) & small[place[d:]]) if d < len(place) else np.zeros(0, dtype=np.int64)
+            if not len(i):
+                break
+            near, _ = self.within_reach(i, i + d, t)
+            found.append(np.stack([i[near], i[near] + d], axis=1))
+        return np.concatenate(found)
+
+
+def met(members: DataFrame, t: Fraction, meeting: int, again: bool) -> DataFrame:
+    """(a, b, kind): what follows from sets that meet, see ``NEAR``. ``again``: whether they did before.
 
     Members (with labels; equal ones are linked already) meet at the elements of their prefixes.  Of two that meet, so many elements
-    must be common that neither may have too few from here on, and their numbers must be near each other.
+    must be common that neither may have too few from here on, and their numbers and bitmaps must be near each other.
     """
-    num, den = t.numerator, t.denominator
-    rows = members.select("hub", "x", "n", "apart", "linked", "label", F.posexplode("prefix").alias("at", "element")).select("hub", "element", "x", "n", "apart", "linked", "label", "at")
-
-    def place(c: list[np.ndarray], lo: int, hi: int) -> np.ndarray:
-        x, n, apart, linked, label, at = (v[lo:hi] for v in c[2:])
-        if (label == label[0]).all():
-            return np.zeros((0, 2), dtype=np.int64)
-        found = []
-        for i in np.flatnonzero(~linked):
-            most = (den - num) * (n + n[i]) // (den + num)
-            shared = -((most - apart - apart[i]) // 2)
-            able = (shared <= np.minimum(apart - at, apart[i] - at[i])) & (np.abs(apart - apart[i]) <= most)
-            able &= (label != label[i]) & (linked | (x > x[i]))
-            found.append(np.stack([np.full(able.sum(), x[i]), x[able]], axis=1))
-        return np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+    rows = members.select("hub", "x", "n", "apart", "linked", "label", "bits", F.posexplode("prefix").alias("at", "element"))
+    names = ["hub", "element", "x", "n", "apart", "linked", "label", "at"]
+
+    dense = DENSE
+
+    def place(x: np.ndarray, hub: int, sets: Meeting, lo: int, hi: int) -> list[tuple[np.ndarray, int]]:
+        if (sets.label[lo:hi] == sets.label[lo]).all():
+            return []
+        pairs, far = sets.of_one_place(lo, hi, t)
+        if len(pairs) <= dense * (hi - lo):
+            return [(x[pairs], NEAR)]
+        if not again:
+            return [(x[_spanning(hi - lo, pairs - lo, far) + lo], NEAR), (np.array([[hub, hub]]), AGAIN)]
+        hubs = _hanging_together(hi - lo, pairs - lo)
+        own = np.arange(hi - lo)
+        return [(x[np.stack([hubs, own], axis=1)[hubs != own] + lo], HUB)]
 
     def run(batches):
         held: list[np.ndarray] | None = None
@@ -379,48 +467,57 @@ def met(members: DataFrame, t: Fraction, meeting: int) -> DataFrame:
         def taken(c: list[np.ndarray], last: bool):
             """Pairs of whole places, and the rows of the last one if it may go on."""
             nonlocal crowd
-            near, hot = [], []
+            kinds: tuple[list, list, list] = ([], [], [])
             new = np.ones(len(c[0]), dtype=bool)
             new[1:] = (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])
             starts = np.append(np.flatnonzero(new), len(new))
             rest = None
             sizes = np.diff(starts)
-            for r in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == len(sizes) - 1) | (np.arange(len(sizes)) == 0)):
+            sets = Meeting(*c[3:])
+            small = (sizes > 1) & (sizes <= min(SMALL, meeting))
+            small[-1] &= last
+            small[0] &= not crowd or crowd[:2] != (c[0][0], c[1][0])
+            kinds[NEAR].append(c[2][sets.of_small_places(np.cumsum(new) - 1, small, t)])
+            edge = np.isin(np.arange(len(sizes)), (0, len(sizes) - 1))
+            for r in np.flatnonzero(((sizes > 1) | edge) & ~small):
                 lo, hi = starts[r], starts[r + 1]
                 key = (c[0][lo], c[1][lo])
                 if crowd and crowd[:2] == key:
-                    hot.append(crowded(c, lo, hi, crowd[2]))
+                    kinds[HUB].append(crowded(c, lo, hi, crowd[2]))
                 elif hi - lo > meeting:
                     crowd = (*key, c[2][lo])
-                    hot.append(crowded(c, lo, hi, crowd[2]))
+                    kinds[HUB].append(crowded(c, lo, hi, crowd[2]))
                 elif r == len(sizes) - 1 and not last:
                     rest = [v[lo:hi] for v in c]
                 else:
-                    near.append(place(c, lo, hi))
-            pairs = [np.unique(np.concatenate(k), axis=0) if k else np.zeros((0, 2), dtype=np.int64) for k in (near, hot)]
-            flags = np.repeat([False, True], [len(k) for k in pairs])
+                    for pairs, kind in place(c[2], key[0], sets, lo, hi):
+                        kinds[kind].append(pairs)
+            pairs = [np.unique(np.concatenate(k), axis=0) if k else np.zeros((0, 2), dtype=np.int64) for k in kinds]
+            flags = np.repeat(np.arange(3, dtype=np.int32), [len(k) for k in pairs])
             both = np.concatenate(pairs)
-            return rest, pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(flags)], ["a", "b", "hot"])
+            return rest, pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(flags)], ["a", "b", "kind"])
 
         for batch in batches:
             if batch.num_rows:
-                c = [v.to_numpy(zero_copy_only=False) for v in batch.columns]
+                bits = np.frombuffer(b"".join(batch.column(len(names)).to_pylist()), dtype=_U).reshape(batch.num_rows, -1)
+                c = [*(v.to_numpy(zero_copy_only=False) for v in batch.columns[: len(names)]), bits]
                 if held:
                     c = [np.concatenate(v) for v in zip(held, c, strict=True)]
                 held, out = taken(c, False)
-                yield out
+                if out.num_rows:
+                    yield out
         if held:
             yield taken(held, True)[1]
 
-    dealt = rows.repartition("hub", "element").sortWithinPartitions("hub", "element", "x")
-    return dealt.mapInArrow(run, "a bigint, b bigint, hot boolean").where("a <> b").distinct()
+    dealt = rows.select(*names, "bits").repartition("hub", "element").sortWithinPartitions("hub", "element", "x")
+    return dealt.mapInArrow(run, "a bigint, b bigint, kind int").distinct()
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def linked_groups(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: Fraction = SIMILARITY, meeting: int | None = None) -> DataFrame:
+def linked_groups(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
     """(_d, _t, n, component) for each row: its id (null as it is), a hash of its text, the size of its set, the least id of its component."""
     keep, drop, t = scratch.keep, scratch.drop, similarity
     source = docs.select(F.col(id_col).cast("long").alias("_d"), F.xxhash64(text_col).alias("_t"), F.col(text_col).alias("_text"))
@@ -429,58 +526,71 @@ def linked_groups(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
     known = printed.where(F.col("_d").isNotNull() & (F.col("n") > 0))
     several = keep(known.select("_d", *classed).distinct().groupBy("_d").count().where("count > 1").select("_d"), "several")
     classes = known.groupBy(*classed).agg(F.min(F.struct("_d", "_t")).alias("rep")).select(*classed, "rep.*")
-    classes = classes.join(several.withColumn("also", F.lit(True)), "_d", "left")
-    plain = F.col("also").isNull() & F.col("_d").between(0, _MADE - 1)
-    classes = keep(classes.withColumn("_k", F.when(plain, F.col("_d")).otherwise(_MADE + F.pmod(F.xxhash64("_d", "_t"), F.lit(_MADE)))).drop("also"), "classes")
-    of_id = known.join(several, "_d", "left_semi").select("_d", *classed).join(classes.select(*classed, "_k"), classed)
-
-    copies = printed.where("_d is not null").join(classes.select("_d", "_t"), ["_d", "_t"], "left_anti").select("_d", "_t").distinct()  # and rows without words
-    sets = source.where(F.col("_d").isNotNull()).join(_few(copies), ["_d", "_t"], "left_anti")
+    plain = F.col("_d").between(0, _MADE - 1)
+    repeated_ids = not several.isEmpty()
+    if repeated_ids:
+        classes = classes.join(few(several.withColumn("also", F.lit(True))), "_d", "left")
+        plain = F.col("also").isNull() & plain
+    classes = keep(classes.withColumn("_k", F.when(plain, F.col("_d")).otherwise(_MADE + F.pmod(F.xxhash64("_d", "_t"), F.lit(_MADE)))).select(*classed, "_d", "_t", "_k"), "classes")
+
+    copies = keep(printed.where("_d is not null").join(classes.select("_d", "_t"), ["_d", "_t"], "left_anti").select("_d", "_t").distinct(), "copies")  # and rows without words
+    sets = source.where(F.col("_d").isNotNull()).join(few(copies), ["_d", "_t"], "left_anti")
     made = classes.where("_k <> _d").select("_d", "_t", "_k")
-    sets = sets.withColumn("_k", F.col("_d")) if made.isEmpty() else sets.join(made, ["_d", "_t"], "left").withColumn("_k", F.coalesce("_k", "_d"))
+    sets = sets.withColumn("_k", F.col("_d")) if made.isEmpty() else sets.join(few(made), ["_d", "_t"], "left").withColumn("_k", F.coalesce("_k", "_d"))
     sets = sets.select("_k", "_text")
     lacking = {r[0]: r[1] for r in printed.where("lacks >= 0").groupBy(F.floor(F.col("lacks") / 4)).agg(F.max(F.col("lacks") % 4)).collect()}  # bands: some hundred at most
 
+    links = []
+    if repeated_ids:
+        of_id = known.join(few(several), "_d", "left_semi").select("_d", *classed).join(classes.select(*classed, "_k"), classed)
+        links = [of_id.select(F.col("_k").alias("a"), (-1 - F.pmod(F.xxhash64("_d"), F.lit(_MADE))).alias("b"))]
     pairs = keep(hub_pairs(signatures(sets, shingle, t, lacking)), "pairs-0")
-    links = [of_id.select(F.col("_k").alias("a"), (-1 - F.pmod(F.xxhash64("_d"), F.lit(_MADE))).alias("b"))]
-    compared_with: list[DataFrame] = []
+    known_members: DataFrame | None = None
     n = 0
     while True:
         members = keep(compared(sets, pairs, shingle, t), f"members-{n}")
         links.append(members.where("linked").select(F.col("hub").alias("a"), F.col("x").alias("b")))
-        labels = components(_all(links), scratch, f"graph-{n}")
-        compared_with.append(members)
-        links = [labels.select(F.col("node").alias("a"), F.col("label").alias("b"))]
-        held = members if n == 0 else _all(compared_with).join(_few(pairs.select("hub").distinct()), "hub", "left_semi")
-        held = held.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
-        apart = held.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("of"))
-        apart = apart.where("lo <> hi and open > 0 and of > 1").select("hub")
-        found = keep(met(held.join(apart, "hub", "left_semi"), t, meeting or MEETING), f"met-{n}")
-        near = found.where("not hot").select(F.col("a").alias("hub"), F.col("b").alias("x"))
-        near = keep(compared(sets, near, shingle, t).where("linked").select(F.col("hub").alias("a"), F.col("x").alias("b")), f"near-{n}")
-        links.append(near)
-        pairs = found.where("hot").select(F.col("a").alias("hub"), F.col("b").alias("x"))
-        pairs = pairs.join(_all(compared_with).select("hub", "x"), ["hub", "x"], "left_anti")
+        held = members if known_members is None else members.unionByName(known_members.join(few(pairs.select("hub").distinct()), "hub", "left_semi"))
+        known_members = members if known_members is None else known_members.unionByName(members)
+        hubs, further = None, []
+        for again in (False, True):
+            labels = components(_all(links), scratch, f"graph-{n}-{int(again)}")
+            links = [labels.select(F.col("node").alias("a"), F.col("label").alias("b"))]
+            own = held if hubs is None else held.join(few(hubs), "hub", "left_semi")
+            own = own.join(few(labels.withColumnRenamed("node", "x")), "x", "left").withColumn("label", F.coalesce("label", "x"))
+            apart = own.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("of"))
+            apart = keep(apart.where("lo <> hi and open > 0 and of > 1").select("hub"), f"apart-{n}-{int(again)}")
+            found = keep(met(own.join(few(apart), "hub", "left_semi"), t, MEETING, again), f"met-{n}-{int(again)}")
+            said = {r[0] for r in found.select("kind").distinct().collect()}
+            if NEAR in said:
+                near = found.where(F.col("kind") == NEAR).select(F.col("a").alias("hub"), F.col("b").alias("x"))
+                links.append(keep(compared(sets, near, shingle, t).where("linked").select(F.col("hub").alias("a"), F.col("x").alias("b")), f"near-{n}-{int(again)}"))
+            if HUB in said:
+                further.append(found.where(F.col("kind") == HUB).select(F.col("a").alias("hub"), F.col("b").alias("x")).where("hub <> x"))
+            if AGAIN not in said:
+                break
+            hubs = found.where(F.col("kind") == AGAIN).select(F.col("a").alias("hub"))
         n += 1
-        pairs = keep(pairs, f"pairs-{n}")
-        if pairs.isEmpty():
+        if further:
+            pairs = keep(_all(further).distinct().join(known_members.select("hub", "x"), ["hub", "x"], "left_anti"), f"pairs-{n}")
+        if not further or pairs.isEmpty():
             break
-    if not near.isEmpty():
+    if len(links) > 1:
         labels = components(_all(links), scratch, "graph")
     grouped = classes.join(labels.withColumnRenamed("node", "_k"), "_k", "left").withColumn("label", F.coalesce("label", "_k"))
     least = grouped.groupBy("label").agg(F.min("_d").alias("component"))
     per_class = keep(grouped.join(least, "label").select(*classed, "component"), "per-class")
     out = printed.join(per_class, classed, "left")
     whole = F.when(F.col("_d").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("_d")).otherwise(F.col("component"))
-    drop(*[f"{name}-{k}" for k in range(n + 1) for name in ("pairs", "members", "met", "near")])
+    drop(*[name for name in scratch.names if name.partition("-")[0] in ("pairs", "members", "apart", "met", "near")])
     return out.select("_d", "_t", "n", whole.cast("long").alias("component"))
 
 
-def one_of_each_group(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: Fraction = SIMILARITY, meeting: int | None = None) -> DataFrame:
+def one_of_each_group(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose id is the least of its component, and those with a null id."""
-    groups = linked_groups(docs, scratch, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity, meeting=meeting)
+    groups = linked_groups(docs, scratch, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
     gone = scratch.keep(groups.where("component <> _d").select("_d").distinct(), "gone")
-    return docs.join(_few(gone), docs[id_col].cast("long") == gone["_d"], "left_anti")
+    return docs.join(few(gone), docs[id_col].cast("long") == gone["_d"], "left_anti")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,12 +15,15 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scriptorium.session import ship
 
 #: Rows and bytes of one Arrow batch; bounds what a Python worker holds at once.
 BATCH_ROWS = 2048
 BATCH_BYTES = 4 << 20
+#: Up to so many rows of keys (some 24 bytes each) are broadcast.
+BROADCAST_KEYS = 1_000_000
 
 ARROW_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
@@ -41,9 +44,11 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where it is unset (as in tests) a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; only where it is unset and all executors are in one process (as in tests) a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -92,17 +97,22 @@ class Scratch:
 
     def until_exit(self, df: DataFrame) -> DataFrame:
         """Deletes what is left when the application ends: frames derived from ``df`` read it as long."""
-        atexit.register(_quietly_delete, self.spark, self.root)
+        atexit.register(quietly_delete, self.spark, self.root)
         return df
 
 
-def _quietly_delete(spark: SparkSession, path: str) -> None:
+def quietly_delete(spark: SparkSession, path: str) -> None:
     try:
         _delete(spark, path)
     except Exception:  # noqa: BLE001  the session is gone; the folder is the cluster's to clean
         pass
 
 
+def few(keys: DataFrame) -> DataFrame:
+    """Rows of a few numbers, broadcast if there are no more than ``BROADCAST_KEYS`` of them."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
 def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
