@@ -89,12 +89,29 @@ def sentence_texts(c: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(c, F.lit(SENTENCE), 0), strip), lambda x: x != "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Pieces whose offsets are summed up together; so many of those sums are summed up again.
+TOGETHER = 128
+
+
 def pieces_with_offsets(c: Column, pattern: str) -> Column:
-    """All of the text as consecutive matches of a pattern that leaves nothing out, each with its start."""
+    """All of the text as consecutive matches of a pattern that leaves nothing out, each with its start.
+
+    Starts are summed up within stretches of ``TOGETHER`` pieces, then over the stretches: to append to an array copies it.
+    """
     empty = F.array().cast("array<struct<raw:string,start:int>>")
     begin = F.struct(empty.alias("out"), F.lit(0).alias("at"))
     step = lambda a, x: F.struct(F.concat(a["out"], F.array(F.struct(x.alias("raw"), a["at"].alias("start")))).alias("out"), (a["at"] + F.char_length(x)).alias("at"))
-    return F.aggregate(F.regexp_extract_all(c, F.lit(pattern), 0), begin, step, lambda a: a["out"])
+    within = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / TOGETHER).cast("int")), lambda k: F.aggregate(F.slice(p, k * TOGETHER + 1, TOGETHER), begin, step))
+    first = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at"))
+    starts = lambda w: F.aggregate(w, first, lambda a, x: F.struct(F.concat(a["out"], F.array(a["at"])).alias("out"), (a["at"] + x["at"]).alias("at")), lambda a: a["out"])
+    moved = lambda w: bound(starts(w), lambda s: F.flatten(F.transform(w, lambda x, k: F.transform(x["out"], lambda q: F.struct(q["raw"].alias("raw"), (q["start"] + F.get(s, k)).alias("start"))))))
+    whole = lambda p: F.when(F.size(p) > 0, bound(within(p), moved)).otherwise(empty)
+    return F.coalesce(bound(F.regexp_extract_all(c, F.lit(pattern), 0), whole), empty)
 
 
 def sentences(c: Column) -> Column:
@@ -159,6 +176,17 @@ def shingles(array: Column, n: int = 5) -> Column:
     return F.when((F.size(array) > 0) & (F.size(array) < n), F.array(F.array_join(array, " "))).otherwise(F.array_distinct(grams(array, n)))
 
 
+def gram_hashes(array: Column, n: int) -> Column:
+    """64-bit hashes of the runs of ``n`` elements, one for each place."""
+    at = F.when(F.size(array) >= n, F.sequence(F.lit(1), F.size(array) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(F.slice(array, i, n)))
+
+
+def shingle_hashes(array: Column, n: int = 5) -> Column:
+    """64-bit hashes of the distinct runs of ``n`` tokens; fewer tokens are one run."""
+    return F.when((F.size(array) > 0) & (F.size(array) < n), F.array(F.xxhash64(array))).otherwise(F.array_distinct(gram_hashes(array, n)))
+
+
 def once(df: DataFrame, *keep: str, **values: Column) -> DataFrame:
     """``keep`` and named values, each evaluated once a row: the optimizer does not copy expressions through a generator."""
     return df.select(*keep, F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias("_once")).select(*keep, *[F.col(f"_once.{k}").alias(k) for k in values])

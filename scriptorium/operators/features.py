@@ -95,9 +95,9 @@ def featurize(df: DataFrame, text_col: str = "text", name: str = "f") -> DataFra
         _generic=T.occurrences(low, L.GENERIC_PHRASES),
         _hedge=T.occurrences(low, L.HEDGES),
         _informal=T.occurrences(low, L.INFORMAL_MARKERS),
-        _personal=F.size(F.filter(w, lambda x: x.isin(L.PERSONAL_MARKERS))) + T.occurrences(low, L.PERSONAL_PHRASES),
+        _personal=F.size(F.filter(w, lambda x: x.isin(*L.PERSONAL_MARKERS))) + T.occurrences(low, L.PERSONAL_PHRASES),
         _opener=F.size(F.filter(s, T.starts_with_opener)),
-        _fw=F.filter(w, lambda x: x.isin(L.FUNCTION_WORDS)),
+        _fw=F.filter(w, lambda x: x.isin(*L.FUNCTION_WORDS)),
     )
     d = T.once(
         d, *kept, "_t", "_w", "_s", "_l", "_m", "_n", "_lens", "_p", "_plain", "_firsts", "_g3", "_g2", "_connector", "_generic", "_hedge", "_informal", "_personal", "_opener", "_fw",
@@ -118,7 +118,7 @@ def featurize(df: DataFrame, text_col: str = "text", name: str = "f") -> DataFra
         "punct_ratio": T.ratio(T.count_chars(F.col("_t"), L.PUNCTUATION), n),
         "comma_density": T.ratio(T.count_chars(F.col("_t"), ","), n_s),
         "connector_density": per100(F.col("_connector")),
-        "stopword_ratio": T.ratio(F.size(F.filter(w, lambda x: x.isin(L.STOPWORDS))), n),
+        "stopword_ratio": T.ratio(F.size(F.filter(w, lambda x: x.isin(*L.STOPWORDS))), n),
         "repeated_trigram_ratio": repeated(F.col("_g3")),
         "generic_phrase_density": per100(F.col("_generic")),
         "personal_voice_density": per100(F.col("_personal")),

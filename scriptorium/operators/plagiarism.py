@@ -1,7 +1,7 @@
 """Copied and similar text: containment of shingles, TF-IDF, flagged sentences, the copied run.
 
-Everything is a join on shared shingles or terms, so pairs of texts that share
-nothing are never made.  Texts and references come as (id, text); a reference's
+Everything is a join on shared shingles (by 64-bit hashes) or terms, so pairs of
+texts that share nothing are never made.  Texts and references come as (id, text); a reference's
 ``ref_order`` decides ties.
 """
 
@@ -22,8 +22,8 @@ FRAGMENT = 240
 
 
 def shingle_rows(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    """(keys, n, shingle): each different shingle with how many its text has."""
-    rows = T.once(T.once(df, *keys, _k=T.match_tokens(F.col(text))), *keys, _g=T.shingles(F.col("_k"), SHINGLE))
+    """(keys, n, shingle): the hash of each different shingle with how many its text has."""
+    rows = T.once(T.once(df, *keys, _k=T.match_tokens(F.col(text))), *keys, _g=T.shingle_hashes(F.col("_k"), SHINGLE))
     return rows.select(*keys, F.size("_g").alias("n"), F.explode("_g").alias("shingle"))
 
 
@@ -62,17 +62,25 @@ def flagged_sentences(texts: DataFrame, refs: DataFrame) -> DataFrame:
     return best.join(sentences, ["id", "sent"]).select("id", "sent", "start", "end", "text_start", "text", "ref_id", "ref_order", T.percent(F.col("share")).alias("overlap"))
 
 
-def common_runs(pairs: DataFrame, *keys: str) -> DataFrame:
-    """(keys, first, ref_first, length): the longest run of tokens that ``tokens`` and ``ref_tokens`` have in common, the first found of equal ones."""
-    left = pairs.select(*keys, F.posexplode("tokens").alias("i", "token"))
-    right = pairs.select(*keys, F.posexplode("ref_tokens").alias("j", "token"))
-    met = left.join(right, [*keys, "token"]).withColumn("diagonal", F.col("i") - F.col("j"))
-    along = Window.partitionBy(*keys, "diagonal").orderBy("i")
+def common_runs(sentences: DataFrame, refs: DataFrame) -> DataFrame:
+    """(id, sent, first, ref_first, length): the longest run of tokens that a sentence (id, sent, ref_id, tokens) and its reference (ref_id, ref_tokens) share, the first found of equal ones.
+
+    Runs are seeded on shared runs of ``LEAST_RUN`` tokens (all of a shorter sentence), neighbours on a diagonal put together;
+    a reference's places are made once, however many sentences it is compared with.
+    """
+    k = F.least(F.size("tokens"), F.lit(LEAST_RUN))
+    own = sentences.where(F.size("tokens") > 0).withColumn("k", k)
+    seeds = F.coalesce(*[F.when(F.col("k") == n, T.gram_hashes(F.col("tokens"), n)) for n in range(1, LEAST_RUN + 1)])
+    left = own.select("id", "sent", "ref_id", "k", F.posexplode(seeds).alias("i", "seed"))
+    needed = own.select("ref_id", "k").distinct()
+    right = refs.join(needed, "ref_id").select("ref_id", "k", F.posexplode(F.coalesce(*[F.when(F.col("k") == n, T.gram_hashes(F.col("ref_tokens"), n)) for n in range(1, LEAST_RUN + 1)])).alias("j", "seed"))
+    met = left.join(right, ["ref_id", "k", "seed"]).withColumn("diagonal", F.col("i") - F.col("j"))
+    along = Window.partitionBy("id", "sent", "ref_id", "diagonal").orderBy("i")
     islands = met.withColumn("island", F.col("i") - F.row_number().over(along))
-    runs = islands.groupBy(*keys, "diagonal", "island").agg(F.count("*").cast("int").alias("length"), F.max("i").alias("last"), F.max("j").alias("ref_last"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("length"), "last", "ref_last")
+    runs = islands.groupBy("id", "sent", "ref_id", "k", "diagonal", "island").agg(F.count("*").cast("int").alias("n"), F.max("i").alias("i"), F.max("j").alias("j"))
+    order = Window.partitionBy("id", "sent").orderBy(F.desc("n"), "i", "j", "ref_id")
     best = runs.withColumn("rank", F.row_number().over(order)).where("rank = 1")
-    return best.select(*keys, (F.col("last") - F.col("length") + 1).alias("first"), (F.col("ref_last") - F.col("length") + 1).alias("ref_first"), "length")
+    return best.select("id", "sent", (F.col("i") - F.col("n") + 1).alias("first"), (F.col("j") - F.col("n") + 1).alias("ref_first"), (F.col("n") + F.col("k") - 1).alias("length"))
 
 
 def token_spans(text: Column) -> Column:
@@ -84,11 +92,11 @@ def token_spans(text: Column) -> Column:
 
 def located(flagged: DataFrame, refs: DataFrame) -> DataFrame:
     """Flagged sentences with the copied run: where it is in the text, its words, and the reference's fragment; runs of three tokens at least."""
-    own = flagged.join(refs.select("ref_id", F.col("text").alias("ref_text")), "ref_id")
-    spans = own.select("id", "sent", "ref_id", "text", "text_start", "ref_text", T.match_tokens(F.col("text")).alias("tokens"), T.match_tokens(F.col("ref_text")).alias("ref_tokens"), token_spans(F.col("text")).alias("at"), token_spans(F.col("ref_text")).alias("ref_at"))
-    spans = spans.where((F.size("tokens") == F.size("at")) & (F.size("ref_tokens") == F.size("ref_at")))
-    runs = common_runs(spans, "id", "sent").where(F.col("length") >= LEAST_RUN)
-    found = spans.join(runs, ["id", "sent"])
+    needed = refs.join(flagged.select("ref_id").distinct(), "ref_id", "left_semi")
+    sources = T.once(needed, "ref_id", ref_text=F.col("text"), ref_tokens=T.match_tokens(F.col("text")), ref_at=token_spans(F.col("text"))).where(F.size("ref_tokens") == F.size("ref_at"))
+    spans = T.once(flagged, "id", "sent", "ref_id", "text", "text_start", tokens=T.match_tokens(F.col("text")), at=token_spans(F.col("text"))).where(F.size("tokens") == F.size("at"))
+    runs = common_runs(spans, sources).where(F.col("length") >= LEAST_RUN)
+    found = spans.join(runs, ["id", "sent"]).join(sources.select("ref_id", "ref_text", "ref_at"), "ref_id")
     begin, end = F.get("at", F.col("first"))["start"], F.get("at", F.col("first") + F.col("length") - 1)["end"]
     ref_begin, ref_end = F.get("ref_at", F.col("ref_first"))["start"], F.get("ref_at", F.col("ref_first") + F.col("length") - 1)["end"]
     fragment = F.substring("ref_text", ref_begin + 1, ref_end - ref_begin)
@@ -100,14 +108,6 @@ def located(flagged: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
-def term_weights(texts: DataFrame, *keys: str, n_texts: Column, frequencies: DataFrame) -> DataFrame:
-    """(keys, term, weight): share of a text's tokens, times 1 + ln((N + 1) / (df + 1))."""
-    terms = T.once(texts, *keys, _k=T.match_tokens(F.col("text"))).select(*keys, F.size("_k").alias("n"), F.explode("_k").alias("term"))
-    counted = terms.groupBy(*keys, "n", "term").agg(F.count("*").alias("c"))
-    idf = F.ln((n_texts + 1) / (F.col("df") + 1)) + 1.0
-    return counted.join(frequencies, "term").select(*keys, "term", (F.col("c") / F.col("n") * idf).alias("weight"))
-
-
 def document_frequencies(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode(F.array_distinct(T.match_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
@@ -133,12 +133,16 @@ def topical(texts: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def batch_matches(texts: DataFrame, corpus: DataFrame | None = None, k: int = KEPT_MATCHES) -> DataFrame:
-    """Each text against all others (and a corpus): the ``k`` best, with whether the source is one of the batch."""
-    others = texts.select(F.col("id").alias("ref_id"), F.col("id").alias("ref_order"), "text").withColumn("peer", F.lit(True))
-    if corpus is not None:
-        others = corpus.select("ref_id", "ref_order", "text").withColumn("peer", F.lit(False)).unionByName(others)
+    """Each text against all others (and a corpus, which comes first among equals): the ``k`` best, with whether the source is one of the batch."""
+    own = texts.select(F.col("id").alias("ref_id"), "text").withColumn("peer", F.lit(True))
+    if corpus is None:
+        others = own.withColumn("ref_order", F.struct("peer", "ref_id"))
+    else:
+        kind = corpus.schema["ref_order"].dataType
+        others = corpus.select("ref_id", "text", F.lit(False).alias("peer"), F.struct(F.lit(False).alias("peer"), "ref_order", F.col("ref_id")).alias("ref_order"))
+        others = others.unionByName(own.withColumn("ref_order", F.struct("peer", F.lit(None).cast(kind).alias("ref_order"), "ref_id")))
     left = shingle_rows(texts, "id")
     right = shingle_rows(others, "ref_id", "ref_order", "peer").drop("n")
     met = left.join(right, "shingle").where(~(F.col("peer") & (F.col("id") == F.col("ref_id"))))
-    pairs = met.groupBy("id", "n", "ref_id", "ref_order", "peer").agg(F.count("*").alias("shared"))
+    pairs = met.groupBy("id", "n", "ref_id", "peer").agg(F.count("*").alias("shared"), F.first("ref_order").alias("ref_order"))
     return top_matches(pairs, k)

@@ -10,10 +10,11 @@ from pyspark.sql.window import Window
 
 from scriptorium.functions import lexicons as L
 from scriptorium.functions import text as T
-from scriptorium.operators import learning, localize, plagiarism, segments, signals, verdict
+from scriptorium.operators import evaluation, learning, localize, plagiarism, segments, signals, verdict
 from scriptorium.operators.features import FEATURE_ORDER, RAW, featurize
 from scriptorium.plans import engine
 from scriptorium.plans import oracles as O
+from scriptorium.session import spread
 from scriptorium.sources import documents as sources
 from scriptorium.sources import store
 
@@ -33,7 +34,8 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -150,9 +152,8 @@ rn AS (SELECT id, sent, count(*) AS length, max(i) AS li, max(j) AS lj FROM mt G
 SELECT id, sent, CAST(li - length + 1 AS INTEGER) AS first, CAST(lj - length + 1 AS INTEGER) AS ref_first, CAST(length AS INTEGER) AS length FROM rn QUALIFY row_number() OVER (PARTITION BY id, sent ORDER BY length DESC, li, lj) = 1"""
 )
 def longest_common_run(spark, d):
-    found = plagiarism.flagged_sentences(docs(spark, d), refs(spark, d)).join(refs(spark, d).select("ref_id", F.col("text").alias("ref_text")), "ref_id")
-    pairs = found.select("id", "sent", T.match_tokens(F.col("text")).alias("tokens"), T.match_tokens(F.col("ref_text")).alias("ref_tokens"))
-    return plagiarism.common_runs(pairs, "id", "sent")
+    found = plagiarism.flagged_sentences(docs(spark, d), refs(spark, d)).select("id", "sent", "ref_id", T.match_tokens(F.col("text")).alias("tokens"))
+    return plagiarism.common_runs(found, refs(spark, d).select("ref_id", T.match_tokens(F.col("text")).alias("ref_tokens")))
 
 
 @query()
@@ -489,3 +490,22 @@ def analyze(spark, d):
 def analyze_batch(spark, d):
     files = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), "text", F.lit(None).cast("string").alias("error"))
     return engine.batch(files)
+
+
+_SPANS = "SELECT event_id % 500 AS id, event_id % 97 * 3 AS s, event_id % 97 * 3 + event_id % 11 AS e FROM events"
+
+
+@query(f"WITH s AS ({_SPANS}), c AS (SELECT DISTINCT id, unnest(range(s, e)) AS at FROM s) SELECT s.id, CAST(count(DISTINCT c.at) AS BIGINT) AS chars FROM s LEFT JOIN c USING (id) GROUP BY s.id")
+def covered_characters(spark, d):
+    rows = table(spark, d, "events").select((F.col("event_id") % 500).alias("id"), (F.col("event_id") % 97 * 3).alias("start"), (F.col("event_id") % 97 * 3 + F.col("event_id") % 11).alias("end"))
+    return evaluation.covered(rows, "id")
+
+
+_SCORED = "SELECT l.doc_id, CASE WHEN l.doc_id % 5 = 0 THEN 'mixto' WHEN quality = 1 THEN 'ia' ELSE 'humano' END AS label, CAST(l.doc_id % 101 AS INTEGER) AS ai FROM labels l"
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS path, label, ai AS ai_probability, CASE label WHEN 'ia' THEN 1 WHEN 'humano' THEN 0 END AS y, CAST(ai >= 50 AS INTEGER) AS predicted, ai / 100.0 AS p, CASE label WHEN 'mixto' THEN ai BETWEEN 30 AND 70 WHEN 'ia' THEN ai >= 50 ELSE ai < 50 END AS \"right\" FROM ({_SCORED})")
+def evaluation_rows(spark, d):
+    label = F.when(F.col("doc_id") % 5 == 0, "mixto").when(F.col("quality") == 1, "ia").otherwise("humano")
+    rows = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("path"), label.alias("label"), (F.col("doc_id") % 101).cast("int").alias("ai_probability"))
+    return evaluation.judged(rows)

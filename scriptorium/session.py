@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,3 +21,9 @@ def ship(spark: SparkSession) -> None:
             out.write(path, Path(root.name) / path.relative_to(root))
     context.addPyFile(str(archive))
     context._scriptorium_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table in too few pieces for all cores (a small file is one piece) dealt out evenly; a table in enough pieces as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores // 2 else df

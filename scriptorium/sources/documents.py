@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scriptorium.functions import text as T
 from scriptorium.operators.learning import TARGETS
@@ -55,13 +56,34 @@ def labelled_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def references(*tables: DataFrame) -> DataFrame:
-    """(ref_id, ref_order, name, text) of several sources of (name, text), in the order given."""
+    """(ref_id, ref_order, name, text) of several sources of (name, text), in the order given; within one by its column ``order``, if it has one, then by name.
+
+    Rows that are equal in all of these are told apart by a number, so a reference given twice is two references.
+    """
     out = None
     for k, table in enumerate(tables):
-        part = table.select(F.lit(k).alias("_source"), "name", "text")
+        place = F.col("order").cast("long") if "order" in table.columns else F.lit(None).cast("long")
+        part = table.select(F.lit(k).alias("_source"), place.alias("_order"), "name", "text")
         out = part if out is None else out.unionByName(part)
-    rows = out.where(T.strip(F.coalesce("text", F.lit(""))) != "").withColumn("ref_id", F.xxhash64("_source", "name", "text"))
-    return rows.select("ref_id", F.struct("_source", "name", "ref_id").alias("ref_order"), "name", "text")
+    same = Window.partitionBy("_source", "_order", "name", "text").orderBy(F.lit(0))
+    rows = out.where(T.strip(F.coalesce("text", F.lit(""))) != "").withColumn("_copy", F.row_number().over(same))
+    rows = rows.withColumn("ref_id", F.xxhash64("_source", "_order", "name", "text", "_copy"))
+    return rows.select("ref_id", F.struct("_source", "_order", "name", "ref_id").alias("ref_order"), "name", "text")
+
+
+def reference_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, text) of the texts in the folders for references below ``folder``, those that exist; the name is the file's."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    there = [p for p in (f"{folder.rstrip('/')}/{name}" for name in REFERENCE_FOLDERS) if path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(p))]
+    rows = spark.createDataFrame([], "name string, text string")
+    for p in there:
+        rows = rows.unionByName(text_folder(spark, p).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "text"))
+    return rows
+
+
+def stored_references(rows: DataFrame) -> DataFrame:
+    """(name, text, order) of a table of references (id, name, text): the latest first."""
+    return rows.select("name", "text", (-F.col("id")).alias("order"))
 
 
 def upload_errors(path: Column, length: Column) -> Column:
@@ -129,11 +151,18 @@ def uploaded(spark: SparkSession, files: DataFrame) -> DataFrame:
 
 
 def diagnosed(rows: DataFrame) -> DataFrame:
-    """With the words read, whether a file is scanned (pages without any text) and whether it is read in part only."""
+    """With the words read, whether a file is scanned (pages without any text), whether it is read in part only, and a note that says so (fixed texts)."""
     n = whitespace_words(F.coalesce("text", F.lit("")))
     scanned = (F.coalesce("pages_total", F.lit(0)) > 0) & (F.coalesce("pages_with_text", F.lit(0)) == 0)
     partial = ~scanned & (F.coalesce("pages_total", F.lit(0)) > 0) & ((F.col("pages_with_text") < F.col("pages_total")) | (n < F.col("pages_total") * WORDS_A_PAGE))
-    return rows.select("path", "text", n.alias("words"), "pages_total", "pages_with_text", scanned.alias("scanned"), partial.alias("partial"), "error")
+    out = rows.select("path", "text", n.alias("words"), "pages_total", "pages_with_text", scanned.alias("scanned"), partial.alias("partial"), "error")
+    read = [F.col(c).cast("string") for c in ("pages_with_text", "pages_total", "words")]
+    note = (
+        F.when(F.col("scanned"), F.lit("Este PDF parece ESCANEADO (imágenes, sin texto seleccionable): no se pudo extraer texto. Necesitarías un PDF con texto o pasarlo por OCR."))
+        .when(F.col("partial"), F.concat(F.lit("Se extrajo texto de "), read[0], F.lit(" de "), read[1], F.lit(" página(s) ("), read[2], F.lit(" palabras). La extracción pudo quedar incompleta: revisa que el PDF tenga texto seleccionable.")))
+        .when(F.col("pages_total") > 0, F.concat(F.lit("Se leyeron "), read[0], F.lit(" de "), read[1], F.lit(" páginas · "), read[2], F.lit(" palabras.")))
+    )
+    return out.withColumn("note", note)
 
 
 def nfkd(df: DataFrame, column: str, out: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import learning, localize, plagiarism, segments, signals, verdict
+from scriptorium.operators import evaluation, learning, localize, plagiarism, segments, signals, verdict
 from scriptorium.operators.features import FEATURE_ORDER, featurize
 from scriptorium.plans import engine
 from scriptorium.sources import documents, store
@@ -106,7 +107,7 @@ def test_batch_reports_failures_and_peers(spark):
     text = "el perro corre por el campo verde toda la mañana de abril"
     files = spark.createDataFrame([(1, "a", text, None), (2, "b", text + " sin parar", None), (3, "c", " ", None), (4, "d", None, "malo")], "id long, name string, text string, error string")
     rows = {r.id: r for r in engine.batch(files).collect()}
-    assert rows[1].cross_source == 2 and rows[1].ok and not rows[3].ok and rows[4].error == "malo"
+    assert rows[1].cross_source == "b" and rows[1].ok and not rows[3].ok and rows[4].error == "malo"
 
 
 def test_model_round_trip(spark):
@@ -129,3 +130,84 @@ def test_store_and_sources(spark, tmp_path):
     files = spark.createDataFrame([("x.txt", 4, "año".encode()), ("y.md", 3, "año".encode("latin-1")), ("z.exe", 1, b"1")], "path string, length long, content binary")
     found = {r.path: r for r in documents.uploaded(spark, files).collect()}
     assert found["x.txt"].text == found["y.md"].text == "año" and found["z.exe"].error
+
+
+def one(spark, text, c):
+    return spark.createDataFrame([(text,)], "t string").select(c.alias("x")).first().x
+
+
+def test_offsets_of_very_long_texts(spark):
+    text = " ".join(f"Palabra{i} sigue." if i % 7 == 0 else f"w{i}" for i in range(20_000))
+    row = one(spark, text, T.sentences(F.col("t")))
+    assert all(text[s["start"] : s["end"]].strip() == s["text"] for s in row) and len(row) == 2858
+    spans = one(spark, text, plagiarism.token_spans(F.col("t")))
+    assert len(spans) > 20_000 and [text[a["start"] : a["end"]] for a in spans[:3]] == ["Palabra0", "sigue", "w1"]
+    for odd in ("", " ", "...", "\n\n"):
+        assert one(spark, odd, T.sentences(F.col("t"))) == []
+
+
+def test_a_reference_given_twice(spark):
+    table = spark.createDataFrame([("r", "uno dos tres cuatro cinco seis siete"), ("r", "uno dos tres cuatro cinco seis siete")], "name string, text string")
+    refs = documents.references(table)
+    texts = documents.inline(spark, [(1, "Uno dos tres cuatro cinco seis siete.")])
+    assert refs.select("ref_id").distinct().count() == 2
+    assert [(r.overlap, r.rank) for r in plagiarism.top_matches(plagiarism.containment(texts, refs)).orderBy("rank").collect()] == [(100, 1), (100, 2)]
+    assert plagiarism.flagged_sentences(texts, refs).count() == 1
+
+
+def test_batch_against_a_corpus(spark):
+    copied = "uno dos tres cuatro cinco seis siete ocho nueve diez once doce"
+    stored = documents.stored_references(spark.createDataFrame([(1, "viejo", copied), (2, "nuevo", copied)], "id long, name string, text string"))
+    files = spark.createDataFrame([(1, "a.txt", copied, None), (2, "b.txt", copied, None), (3, "c.exe", None, "formato no admitido")], "id long, name string, text string, error string")
+    rows = {r.id: r for r in engine.batch(files, documents.references(stored)).collect()}
+    assert (rows[1].plagiarism, rows[1].cross_source, rows[1].cross_overlap) == (100, "b.txt", 100) and rows[2].cross_source == "a.txt" and not rows[3].ok
+    order = plagiarism.batch_matches(engine.normalized(files.where("error is null")), documents.references(stored)).where("id = 1").orderBy("rank").collect()
+    assert [r.peer for r in order] == [False, False, True]
+    with pytest.raises(ValueError, match="no more than 2"):
+        engine.batch(files, most_files=2)
+
+
+def test_copy_evidence_names_its_source(spark):
+    copied = "uno dos tres cuatro cinco seis siete ocho nueve diez once doce"
+    texts = documents.inline(spark, [(1, f"Texto propio al principio del documento. {copied.capitalize()}.")])
+    refs = documents.references(spark.createDataFrame([("libro", f"Antes. {copied}. Después.")], "name string, text string"))
+    marks = engine.scored(texts)
+    found = engine.segmented(texts, marks, localize.sentence_scores(texts), engine.copied(texts, refs)[1]).where("overlap > 0").collect()
+    assert [(e["kind"], e["source_fragment"], e["matched_words"]) for e in found[0].evidence if e["kind"] == "copia"] == [("copia", copied, 12)]
+
+
+def test_evaluation_and_model_files(spark, tmp_path):
+    rows = spark.createDataFrame([("b", "ia", 80), ("a", "ia", 20), ("c", "humano", 10), ("d", "humano", 50), ("m", "mixto", 30), ("n", "mixto", 71), ("x", "otro", 1)], "path string, label string, ai_probability int")
+    judged = evaluation.judged(rows)
+    assert [(r.path, r.right) for r in judged.collect()] == [("c", True), ("d", False), ("a", False), ("b", True), ("m", True), ("n", False)]
+    found = evaluation.report(judged)
+    assert (found["tp"], found["fp"], found["tn"], found["fn"], found["mixed_right"], found["mixed"], found["brier"]) == (1, 1, 1, 1, 1, 2, round((0.04 + 0.64 + 0.01 + 0.25) / 4, 4))
+    assert evaluation.report(judged.where("false")) == {}
+    path = f"file://{tmp_path}/model"
+    assert learning.load(spark, path) is None and learning.status(spark, path) == {"loaded": False, "meta": None}
+    for bias in (1.0, 2.0):
+        learning.save(spark, learning.Model([0.5], bias, [0.0], [1.0]), path, {"n": bias})
+    model, report = learning.load(spark, path)
+    assert (model.bias, report, learning.status(spark, path)["loaded"]) == (2.0, {"n": 2.0}, True)
+    train, test = learning.split(spark.range(4000), "id")
+    assert train.count() + test.count() == 4000 and 900 < test.count() < 1100
+
+
+def test_history_and_training_files(spark, tmp_path):
+    texts = documents.inline(spark, [(1, "Un texto corto para el historial."), (2, "Otro texto, algo distinto.")])
+    history = store.history(spark, f"file://{tmp_path}")
+    history.append(store.saved(engine.analyze(texts), texts), "id")
+    rows = history.read().orderBy("id").collect()
+    assert [r.id for r in rows] == [1, 2] and json.loads(rows[0].payload)["originality"] == rows[0].originality and rows[0].title.startswith("Un texto")
+    name = store.import_example(spark, f"file://{tmp_path}/training", history.read(), 1, "humano")
+    assert (tmp_path / "training" / "humano" / name).read_text() == rows[0].text and name == "hist1_un_texto_corto_para_el_historial.txt"
+    with pytest.raises(LookupError):
+        store.import_example(spark, f"file://{tmp_path}/training", history.read(), 9, "ia")
+    assert store.undo_last_example(spark, str(tmp_path)) is None
+    store.add_example(spark, str(tmp_path), "ia", "primero")
+    store.add_example(spark, str(tmp_path), "humano", "segundo")
+    assert store.undo_last_example(spark, str(tmp_path)).first().text == "segundo"
+    assert [r.text for r in spark.read.parquet(f"{tmp_path}/examples").collect()] == ["primero"]
+    (tmp_path / "referencias").mkdir()
+    (tmp_path / "referencias" / "libro.txt").write_text("texto")
+    assert [tuple(r) for r in documents.reference_folders(spark, str(tmp_path)).collect()] == [("libro.txt", "texto")]
