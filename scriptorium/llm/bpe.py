@@ -4,15 +4,20 @@ A sequence of tokens is what the merges make of its bytes exactly if each token
 is (alone) what the merges make of its own bytes and so is each pair of
 neighbours.  So for every prefix of a piece there is one last token, found from
 the last tokens of shorter prefixes, and the transducer reads one byte at a time.
-Its state is what later bytes can still depend on: the boundaries at which a
-token that is still growing may start, each with that token's node in the tree
-of tokens and the tokens before it.  What all of those have in common behind them
-is settled and emitted, so the lookahead is bounded by the longest token.
-States and their transitions are made when they are first met and kept, up to
-``MAX_STATES``; workers also keep the ids of the pieces they met last.
-
-Decoding joins the tokens' bytes; an incremental UTF-8 machine tells where the
-last complete sequence ends, so that a stream can be decoded push by push.
+Nondeterministic, it would start in the tree of tokens anew before each byte; the
+set of tree nodes it is then in is told by the deepest of them (the others are
+its suffixes), so a state is a node.  Transitions between states, the suffix that
+a state falls back on and the tokens that end in it are determined when they are
+first asked for.  Of the tokens that end at a byte the one that fits the last
+token before it is the last token there.  Tokens are emitted once every
+boundary from which a token may still grow has them behind it, so the lookahead
+is bounded by the longest token.  Transitions are kept up to
+``STATE_BYTES``; workers also keep the ids of the pieces they met last, up to
+twice ``KEPT_BYTES``.
+
+Decoding is a stream: ids are taken ``PUSH`` at a time, their bytes joined, and an
+incremental UTF-8 machine, whose state goes from one push to the next, tells where
+the last complete sequence ends.
 
 Defined results: a null text is an empty one (no ids, empty bytes); repeated rows
 are encoded each for itself; columns other than the id and the text are not read.
@@ -30,9 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.runtime import tuned, type_of
-
-MAX_STATES = 200_000
-CACHED_PIECES = 350_000
+from scriptorium.session import spread
+
+#: About what a worker's transitions, and its pairs and parts of tokens, may take, and each of two generations of pieces.
+STATE_BYTES, PAIR_BYTES, KEPT_BYTES = 24 << 20, 24 << 20, 64 << 20
+#: Bytes of a piece after which tokens that are settled are emitted.
+SETTLED_EACH = 4096
+#: Ids that are decoded at once.
+PUSH = 1 << 16
 #: Above any rank.
 NEVER = 1 << 60
 
@@ -43,44 +53,33 @@ def read_ranks(file: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-#: A live boundary: node of the token that is growing from it, the token before it, and the tokens from the settled place to it.
-Live = tuple[int, int, tuple[int, ...]]
-
-
-class State:
-    """The live boundaries; the one at the end of what was read is the last of them."""
-
-    __slots__ = ("live", "next")
-
-    def __init__(self, live: tuple[Live, ...]):
-        self.live = live
-        self.next: dict[int, tuple[State, tuple[int, ...]]] = {}
-
-
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        #: The tokens' prefix tree: node and byte to node, each node's token, and which nodes have more below.
+        self.longest = max(map(len, ranks))
+        #: The tokens' prefix tree: node and byte to node, each node's token, the node above it and its last byte.
         self.child: dict[int, int] = {}
-        self.token = [-1]
-        self.inner = {0}
+        self.token, self.above, self.byte = [-1], [0], bytearray(1)
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                self.inner.add(node)
                 after = self.child.setdefault(node << 8 | byte, len(self.token))
                 if after == len(self.token):
                     self.token.append(-1)
+                    self.above.append(node)
+                    self.byte.append(byte)
                 node = after
             self.token[node] = rank
-        self._fits: dict[tuple[int, int], bool] = {}
+        #: Determined so far: transitions, the node of each node's longest proper suffix, and (token, length) of the tokens that end at a node.
+        self.next: dict[int, int] = {}
+        self.suffix: list[int | None] = [None] * len(self.token)
+        self.suffix[0] = 0
+        self.ending: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.token)
+        self.ending[0] = ()
+        self._fits: dict[int, bool] = {}
         self._made: dict[int, tuple | None] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.start = State(((0, -1, ()),))
-        self.states: dict[tuple[Live, ...], State] = {self.start.live: self.start}
+        self.made_bytes = 0
 
     def _spines(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]] | None:
         """First and last part of a token while the merges (lowest rank first) make it, each with the rank that ends it.
@@ -106,6 +105,10 @@ class Transducer:
         made = None
         if len(parts) == 1:
             made = ([*firsts, (data, NEVER)], [*lasts, (data, NEVER)])
+        self.made_bytes += 300 + 130 * (len(firsts) + len(lasts))
+        if self.made_bytes > PAIR_BYTES:
+            self._made.clear()
+            self.made_bytes = 0
         self._made[token] = made
         return made
 
@@ -115,96 +118,142 @@ class Transducer:
         They do unless, while both are made, the last part of ``left`` and the first of ``right`` are merged before
         either is merged within its token (of equal ranks, what stands further left goes first).
         """
-        key = (left, right)
-        if (known := self._fits.get(key)) is None:
-            own = self._spines(right)
-            known = own is not None
-            if known and left >= 0:
-                lasts, firsts = self._spines(left)[1], own[0]
-                i = j = 0
-                while True:
-                    (p, p_ends), (q, q_ends) = lasts[i], firsts[j]
-                    joined = self.ranks.get(p + q, NEVER)
-                    if joined < p_ends and joined <= q_ends and joined < NEVER:
-                        known = False
-                        break
-                    if p_ends == q_ends == NEVER:
-                        break
-                    if p_ends <= q_ends:
-                        i += 1
-                    else:
-                        j += 1
-            if len(self._fits) >= MAX_STATES:
-                self._fits.clear()
-            self._fits[key] = known
+        own = self._spines(right)
+        known = own is not None
+        if known and left >= 0:
+            lasts, firsts = self._spines(left)[1], own[0]
+            i = j = 0
+            while True:
+                (p, p_ends), (q, q_ends) = lasts[i], firsts[j]
+                joined = self.ranks.get(p + q, NEVER)
+                if joined < p_ends and joined <= q_ends and joined < NEVER:
+                    known = False
+                    break
+                if p_ends == q_ends == NEVER:
+                    break
+                if p_ends <= q_ends:
+                    i += 1
+                else:
+                    j += 1
+        if len(self._fits) * 150 > PAIR_BYTES:
+            self._fits.clear()
+        self._fits[left + 1 << 32 | right] = known
         return known
 
-    def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        """The next state and the tokens that are settled by the byte."""
-        if (known := state.next.get(byte)) is not None:
-            return known
-        live, end = [], None
-        for node, last, behind in state.live:
-            after = self.child.get(node << 8 | byte)
-            if after is None:
-                continue
-            token = self.token[after]
-            if end is None and token >= 0 and self.fits(last, token):
-                end = (0, token, (*behind, token))
-            if after in self.inner:
-                live.append((after, last, behind))
-        if end is None:
-            raise ValueError("a byte is not in the vocabulary")
-        live.append(end)
-        behind = live[0][2]
-        shared = len(behind)
-        for _, _, other in live[1:]:
-            shared = min(shared, len(other))
-            while behind[:shared] != other[:shared]:
-                shared -= 1
-        key = tuple((node, last, b[shared:]) for node, last, b in live) if shared else tuple(live)
-        after = self.states.get(key)
-        if after is None:
-            if len(self.states) >= MAX_STATES:
-                self._reset()
-            after = self.states[key] = State(key)
-        state.next[byte] = move = (after, behind[:shared])
-        return move
+    def _suffix(self, node: int) -> int:
+        """The node of the longest proper suffix that is in the tree."""
+        path = []
+        while self.suffix[node] is None:
+            path.append(node)
+            node = self.above[node]
+        for node in reversed(path):
+            self.suffix[node] = self.step(self.suffix[self.above[node]], self.byte[node]) if self.above[node] else 0
+        return self.suffix[node]
+
+    def step(self, node: int, byte: int) -> int:
+        """The state after one more byte."""
+        at = node
+        while (after := self.child.get(at << 8 | byte)) is None and at:
+            at = self._suffix(at)
+        if len(self.next) * 150 > STATE_BYTES:
+            self.next.clear()
+        self.next[node << 8 | byte] = after = after or 0
+        return after
+
+    def ends(self, node: int) -> tuple[tuple[int, int], ...]:
+        """(token, length) of the tokens that end in a state, longest first."""
+        if (known := self.ending[node]) is None:
+            known = self.ends(self._suffix(node))
+            if (token := self.token[node]) >= 0:
+                known = ((token, len(self.bytes_of[token])), *known)
+            self.ending[node] = known
+        return known
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one piece; a piece that is itself a token is that token."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         out: list[int] = []
-        state = self.start
+        last = [-1]  # the last token of each prefix, from the settled place on
+        node = n = 0
+        fits, after, ending = self._fits, self.next, self.ending
         for byte in piece:
-            state, settled = state.next.get(byte) or self.step(state, byte)
-            if settled:
-                out += settled
-        out += state.live[-1][2]
+            if (to := after.get(node << 8 | byte)) is None:
+                to = self.step(node, byte)
+            node = to
+            n += 1
+            for token, length in ending[node] or self.ends(node):
+                if length <= n:
+                    left = last[n - length]
+                    if (known := fits.get(left + 1 << 32 | token)) is None:
+                        known = self.fits(left, token)
+                    if known:
+                        last.append(token)
+                        break
+            else:
+                raise ValueError("a byte is not in the vocabulary")
+            if n >= SETTLED_EACH:
+                last = self._emit(out, last, self._settled(last))
+                n = len(last) - 1
+        self._emit(out, last, n)
         return out
 
+    def _settled(self, last: list[int]) -> int:
+        """The last boundary behind every one from which a token may still grow."""
+        live = {*range(max(0, len(last) - self.longest), len(last))}
+        while len(live) > 1:
+            at = max(live)
+            live.discard(at)
+            live.add(at - len(self.bytes_of[last[at]]))
+        return live.pop()
+
+    def _emit(self, out: list[int], last: list[int], upto: int) -> list[int]:
+        """Writes the tokens before a boundary and forgets what is before it."""
+        tokens, at = [], upto
+        while at > 0:
+            tokens.append(last[at])
+            at -= len(self.bytes_of[last[at]])
+        out += reversed(tokens)
+        return last[upto:]
 
-class PieceIds(dict):
-    """Packed ids of the pieces met last: a young generation, which becomes the old one when it is full."""
+
+class Kept(dict):
+    """Packed ids of the pieces met last: a young generation, which becomes the old one when it has taken ``KEPT_BYTES``."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
         self.old: dict[str, bytes] = {}
+        self.taken = 0
 
     def __missing__(self, piece: str) -> bytes:
         if (ids := self.old.get(piece)) is None:
             found = self.transducer.encode(piece.encode("utf-8", "replace"))
             ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= 64:
-            if len(self) >= CACHED_PIECES:
+            self.taken += 200 + 2 * len(piece) + len(ids)
+            if self.taken > KEPT_BYTES:
                 self.old = dict(self)
                 self.clear()
+                self.taken = 0
             self[piece] = ids
         return ids
 
 
+class Encoder:
+    """Texts to packed ids: pieces by the pattern, each through the transducer or as kept."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import regex
+
+        self.transducer = Transducer(ranks)
+        self.pieces = regex.compile(pattern).findall
+        self.kept = Kept(self.transducer)
+
+    def text(self, text: str) -> bytes:
+        return b"".join(map(self.kept.__getitem__, self.pieces(text)))
+
+
 class Utf8Machine:
     """Incremental UTF-8: a state is (code point so far, bytes still due, least and greatest next byte).
 
@@ -268,11 +317,9 @@ class StreamDecoder:
 
 
 @cache
-def _encoder(file: str, pattern: str):
+def _encoder(file: str, pattern: str) -> Encoder:
     """What one worker keeps for encoding."""
-    import regex
-
-    return regex.compile(pattern).findall, PieceIds(Transducer(read_ranks(file)))
+    return Encoder(read_ranks(file), pattern)
 
 
 @cache
@@ -281,16 +328,17 @@ def _tokens(file: str) -> dict[int, bytes]:
 
 
 def _encoded(texts: pa.Array, file: str, pattern: str) -> list[bytes]:
-    pieces, ids = _encoder(file, pattern)
-    get = ids.__getitem__
-    return [b"".join(map(get, pieces(text))) if text else b"" for text in texts.to_pylist()]
+    encode = _encoder(file, pattern).text
+    return [encode(text) if text else b"" for text in texts.to_pylist()]
 
 
 def _decoded(packed: list[bytes], bytes_of: dict[int, bytes]) -> list[str]:
     out = []
     for raw in packed:
         decoder = StreamDecoder(bytes_of)
-        out.append(decoder.push(np.frombuffer(raw, "<u4").tolist()) + decoder.finish())
+        ids = np.frombuffer(raw, "<u4")
+        parts = [decoder.push(ids[k : k + PUSH].tolist()) for k in range(0, len(ids), PUSH)]
+        out.append("".join([*parts, decoder.finish()]))
     return out
 
 
@@ -319,7 +367,7 @@ def encode_arrays(docs: DataFrame, file: str, pattern: str, *, id_col: str = "do
     def run(batches):
         for batch in batches:
             packed = _encoded(batch.column(1), file, pattern)
-            checked(batch.column(1), packed, _encoder(file, pattern)[1].transducer.bytes_of)
+            checked(batch.column(1), packed, _encoder(file, pattern).transducer.bytes_of)
             n = np.array([len(x) // 4 for x in packed], dtype=np.int64)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), ids], [id_col, "n_tokens", "ids"])
@@ -345,7 +393,7 @@ def round_trip(docs: DataFrame, file: str, pattern: str, *, id_col: str = "doc_i
     def run(batches):
         for batch in batches:
             ids = _encoded(batch.column(1), file, pattern)
-            bytes_of = _encoder(file, pattern)[1].transducer.bytes_of
+            bytes_of = _encoder(file, pattern).transducer.bytes_of
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(_decoded(ids, bytes_of), pa.string())], [id_col, "ids", "text"])
 
     return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {type_of(docs, id_col)}, ids binary, text string")
@@ -356,7 +404,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     file, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    back = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), file, pattern)
+    back = round_trip(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), file, pattern)
     return back.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

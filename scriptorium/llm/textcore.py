@@ -9,8 +9,6 @@ sequences of words hash the words' hashes the same way with another base.
 
 from __future__ import annotations
 
-import gc
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +18,6 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; the working arrays take about 40 times as much.
 SLICE_BYTES = 1 << 18
-#: What tokenizers keep in a worker between tasks, by module and the name of the cached function.
-KEPT = {"scriptorium.llm.bpe": "_encoder", "scriptorium.llm.tokenfile": "_worker"}
 
 _U = np.uint64
 
@@ -150,21 +146,11 @@ def inside_text(words: Words, n: int) -> np.ndarray:
     return np.arange(m) + n <= last
 
 
-def give_back() -> None:
-    """Frees what a tokenizer has kept in this worker, which now works for another operator."""
-    for name, function in KEPT.items():
-        kept = getattr(sys.modules.get(name), function, None)
-        if kept is not None and kept.cache_info().currsize:
-            kept.cache_clear()
-            gc.collect()
-
-
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of a string array of at most ``limit`` bytes each (a longer text stands alone), with bytes and offsets.
 
     A null text counts as empty.
     """
-    give_back()
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
