@@ -22,11 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import textcore as T
+from scriptorium.llm.runtime import few
 
 WINDOW = 50
 GRAM = 16
-#: Up to so many document keys are broadcast (24 bytes each) to pick texts before they are shuffled.
-BROADCAST_KEYS = 1_000_000
 
 _U = np.uint64
 #: A null id stands after all others.
@@ -63,6 +62,7 @@ class Anchors:
         n = len(words.hash) - window + 1
         if n <= 0 or not (inside := T.inside_text(words, window)).any():
             self.start = self.of = self.text = np.zeros(0, dtype=np.int64)
+            self.at = self.begin = self.end = self.start
             self.key = self.context = np.zeros(0, dtype=_U)
             return
         grams = T.sequence_hash(words.hash, gram)
@@ -82,6 +82,7 @@ class Anchors:
         np.cumsum(words.hash * up[: len(words.hash)], out=total[1:])
         shape = (anchor - begin).astype(_U) * _U(1 << 20) + (end - begin).astype(_U)
         self.key = grams[anchor]
+        self.at, self.begin, self.end = anchor, begin, end
         self.context = T.mix((total[end] - total[begin]) * down[begin] ^ T.mix(shape + _U(1 << 45)))
         self.text = owner[first]
 
@@ -136,20 +137,42 @@ def window_rows(docs: DataFrame, contexts: DataFrame, window: int = WINDOW, gram
     return rows.select("_d", "_t", "_text", "_chosen").mapInArrow(run, "key bigint, sub bigint, _d bigint, _t bigint")
 
 
-def _picked(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    few = keys.select("_d", "_t")
-    if few.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        few = F.broadcast(few)
-    return docs.join(few, ["_d", "_t"], how)
-
-
 def with_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The documents among ``keys`` with its other columns; other texts stay where they are if the keys are few enough."""
-    return _picked(docs, keys, "left_semi").join(keys, ["_d", "_t"])
+    return docs.join(few(keys.select("_d", "_t")), ["_d", "_t"], "left_semi").join(keys, ["_d", "_t"])
 
 
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    return _picked(docs, keys, "left_anti")
+    return docs.join(few(keys.select("_d", "_t")), ["_d", "_t"], "left_anti")
+
+
+def suffix_rows(docs: DataFrame, contexts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(key, suffix, before, lo, hi, _d, _t): the suffixes at the anchors of the given contexts (_d, _t, sub), as far as windows reach.
+
+    ``suffix`` packs the hashes of the words from the anchor on, ``before`` those before it, the nearest first, 64 bits each and
+    big-endian, so that bytes sort as words do; windows start ``lo`` to ``hi`` words before the anchor.
+    """
+    chosen = contexts.groupBy("_d", "_t").agg(F.collect_list("sub").alias("_chosen"))  # no more than a document's own anchors
+    rows = with_texts(docs, chosen)
+
+    def run(batches):
+        for batch in batches:
+            ids, marks, chosen = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            for lo, hi, words in T.words_of(batch.column(2), T.NON_SPACE, lower=False):
+                a = Anchors(words, window, gram)
+                packed, seen, out = words.hash.astype(">u8"), set(), []
+                for k in range(lo, hi):
+                    own = slice(*np.searchsorted(a.text, [k - lo, k - lo + 1]))
+                    for n in np.flatnonzero(np.isin(a.context[own].view(np.int64), chosen[k].values.to_numpy())) + own.start:
+                        if (k, a.context[n]) not in seen:
+                            seen.add((k, a.context[n]))
+                            at, begin, end = a.at[n], a.begin[n], a.end[n]
+                            out.append((a.key[n].view(np.int64), packed[at:end].tobytes(), packed[begin:at][::-1].tobytes(), at - (end - window), at - begin, ids[k], marks[k]))
+                if out:
+                    types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "suffix", "before", "lo", "hi", "_d", "_t"])
+
+    return rows.select("_d", "_t", "_text", "_chosen").mapInArrow(run, "key bigint, suffix binary, before binary, lo int, hi int, _d bigint, _t bigint")
 
 
 #: What a neighbour of the same key and sub key makes of a row.

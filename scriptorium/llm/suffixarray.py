@@ -2,13 +2,19 @@
 
 Of each text only the suffixes that start at content-selected places are
 retained: the minimisers, k-grams with the least hash of some window.  They are
-dealt by their first k words and sorted, so that suffixes with a common start
-are neighbours; a suffix whose neighbours start otherwise repeats nothing and is
-gone.  Neighbours are compared over the whole stretch that the windows around
-the minimiser cover, to its left and right: where that agrees, every window of
-the later document is a repeat.  What only starts alike is extended left and
-right to each window of ``window`` words around the minimiser, and those are
-sorted and compared in turn.
+dealt by their first k words; one whose stretch (all that the windows around the
+minimiser cover, to its left and right) equals that of an earlier document is a
+repeat as a whole, and one whose first k words no other stretch shares repeats
+nothing.  The rest is sorted by its words and neighbours are compared: the length
+of their common start tells how far a match reaches to the right.  For each number
+of words to the left, suffixes that agree far enough to the right (a run of
+neighbours, none of whose common starts is shorter) and in those words to the left
+are the same window; the least id keeps it.
+
+What is sorted together is all suffixes with the same first k words, up to ``HELD``
+of them.  Where more different stretches share a k-gram, each of their windows is a
+row of its own, dealt by its words and compared with its neighbours there, so that
+no task holds a frequent passage's surroundings.
 
 A word is repeated if it lies in a window whose words also stand, in this order,
 in a document with a smaller id; the smallest id keeps its passage.
@@ -28,15 +34,101 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import passages as P
-from scriptorium.llm.runtime import Scratch
+from scriptorium.llm import textcore as T
+from scriptorium.llm.runtime import Scratch, few
+from scriptorium.session import spread
+
+
+#: Suffixes with the same first words that are compared in one place.
+HELD = 8192
+
+_U = np.uint64
+
+
+def _matrix(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Packed words as rows of a matrix, and how many each row has."""
+    out = np.zeros((len(rows), width), dtype=_U)
+    n = np.array([len(r) // 8 for r in rows], dtype=np.int64)
+    for i, r in enumerate(rows):
+        out[i, : n[i]] = np.frombuffer(r, ">u8")
+    return out, n
+
+
+def common_starts(suffix: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many words each sorted suffix has in common with the one before it; 0 for the first."""
+    same = suffix[1:] == suffix[:-1]
+    first = np.where(same.all(axis=1), suffix.shape[1], same.argmin(axis=1))
+    return np.concatenate([[0], np.minimum(first, np.minimum(n[1:], n[:-1]))]) if len(n) else n
+
+
+def repeated_windows(key: np.ndarray, suffixes: list[bytes], befores: list[bytes], lo: np.ndarray, hi: np.ndarray, d: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, window hash) of windows that a row with a smaller ``d`` has too, among suffixes sorted by key and words, whole keys."""
+    suffix, n = _matrix(suffixes, window)
+    before, _ = _matrix(befores, window - gram)
+    reach = common_starts(suffix, n)
+    reach[1:][key[1:] != key[:-1]] = 0
+    up, _ = T._WORDS[0].upto(window)
+    left = np.zeros(len(key), dtype=_U)
+    rows, hashes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=_U)]
+    for o in range(window - gram + 1):
+        if o:
+            left = T.mix(left * _U(0x9E3779B97F4A7C15) + before[:, o - 1])
+        own = np.flatnonzero((lo <= o) & (o <= hi))
+        if len(own) < 2:
+            continue
+        run = np.cumsum(reach < window - o)[own]
+        order = np.lexsort((d[own], left[own], run))
+        own, run = own[order], run[order]
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = (run[1:] != run[:-1]) | (left[own[1:]] != left[own[:-1]])
+        own = own[d[own] > d[own[new]][np.cumsum(new) - 1]]
+        total = (before[own, :o][:, ::-1] * up[:o]).sum(axis=1, dtype=_U) + (suffix[own, : window - o] * up[o:window]).sum(axis=1, dtype=_U)
+        rows.append(own)
+        hashes.append(T.mix(total))
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
+def compared(suffixes: DataFrame, window: int, gram: int) -> DataFrame:
+    """(key, _d, _t): repeated windows (by hash) of the suffixes of ``passages.suffix_rows``, whose keys have at most ``HELD`` of them."""
+    dealt = suffixes.repartition("key").sortWithinPartitions("key", "suffix", "_d", "_t")
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        key, lo, hi, d, t = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "_d", "_t"))
+        at, hashed = repeated_windows(key, table.column("suffix").to_pylist(), table.column("before").to_pylist(), lo, hi, d, window, gram)
+        return pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(d[at]), pa.array(t[at])], ["key", "_d", "_t"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+            if held and held[-1].column(0)[-1].as_py() != keys[0]:
+                yield found(pa.Table.from_batches(held))
+                held = []
+            if cut:
+                yield found(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield found(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, "key bigint, _d bigint, _t bigint")
 
 
 def repeats(source: DataFrame, scratch: Scratch, *, window: int = P.WINDOW, gram: int = P.GRAM) -> DataFrame:
     """Marks of repeated passages of ``source`` (see ``passages.keyed``)."""
-    suffixes = scratch.keep(P.sorted_neighbours(P.anchor_rows(source, window, gram), keep_first=True), "suffixes")
-    extended = P.window_rows(source, suffixes.where(F.col("kind") == P.FIRST).select("_d", "_t", "sub"), window, gram)
-    windows = P.sorted_neighbours(extended, keep_first=False)
-    return scratch.keep(P.marks(suffixes.where(F.col("kind") == P.REPEAT), windows), "marks")
+    retained = scratch.keep(P.sorted_neighbours(P.anchor_rows(source, window, gram), keep_first=True), "suffixes")
+    firsts = retained.where(F.col("kind") == P.FIRST)
+    crowded = scratch.keep(firsts.groupBy("key").count().where(F.col("count") > HELD).select("key"), "crowded")
+    none = crowded.isEmpty()
+    rest = firsts if none else firsts.join(few(crowded), "key", "left_anti")
+    windows = compared(P.suffix_rows(source, rest.select("_d", "_t", "sub"), window, gram), window, gram)
+    if not none:
+        extended = P.window_rows(source, firsts.join(few(crowded), "key", "left_semi").select("_d", "_t", "sub"), window, gram)
+        windows = windows.unionByName(P.sorted_neighbours(extended, keep_first=False).select("key", "_d", "_t"))
+    return scratch.keep(P.marks(retained.where(F.col("kind") == P.REPEAT), windows), "marks")
 
 
 def _without_repeats(raw: bytes, start: np.ndarray, end: np.ndarray, repeated: np.ndarray) -> tuple[str]:
@@ -77,7 +169,7 @@ def digested(source: DataFrame, marked: DataFrame, window: int = P.WINDOW) -> Da
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; windows of 50 words."""
     scratch = Scratch(spark, "op3")
-    source = P.keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    source = P.keyed(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), "doc_id", "text")
     return scratch.until_exit(digested(source, repeats(source, scratch)))
 
 
