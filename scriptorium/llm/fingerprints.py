@@ -1,37 +1,49 @@
 """Incremental removal of repeated passages with a log-structured fingerprint index.
 
-The index is a log of sorted immutable runs, Parquet tables in the shared folder:
-fingerprint runs hold, for each anchor context seen (k-gram and context hash), the
-first document that has it; window runs hold the hashes of the windows under
-contexts that met another context of the same k-gram, each with the first
-document that has it.  A batch of documents, whose ids are greater than all
-before it, is merge-joined with both on the fingerprints it shares; matches are
-verified on the windows' words (two independent 64-bit hashes over all of them;
-historical texts are read again where a fingerprint is shared for the first
-time), and what was new is written as further runs.  After ``MAX_RUNS`` runs
-they are compacted to one; a later entry of a context only says that its windows
-have been written.
-
-Runs never change, and one is listed only when it has been written, so a lost
-executor or a failed batch leaves the index as it was.
+The index is a log of sorted immutable runs in a folder that a later application
+can open: fingerprint runs hold, for each anchor context seen (k-gram and context
+hash), the first document that has it; window runs hold the hashes of the windows
+under contexts that met another context of the same k-gram, each with the first
+document that has it.  A run is a Parquet table bucketed and sorted by its key, so a
+batch of documents, whose ids are greater than all before it, is dealt to the same
+buckets and merge-joined with each run as it lies.  Matches are verified on the
+windows' words (two independent 64-bit hashes over all of them; historical texts are
+read again where a fingerprint is shared for the first time), and what was new is
+written as further runs.
+
+Compaction goes by tiers: two runs of one tier are merged, bucket by bucket in
+their order, to one of the next, so there are no more runs than the logarithm of
+the number of batches, and a row is rewritten as often.  A later entry of a context
+only says that its windows have been written.
+
+Runs never change.  A manifest lists those that count; each batch writes a new one
+when its runs are complete, and the last complete manifest holds.  A lost executor
+or a failed batch so leaves the index as it was, and the batch can be given again.
 
 Defined results: as for the suffix array, whose result on the same documents is
-the same; batches are ranges of ids, and null ids go with the last one.
+the same; batches are ranges of ids, and null ids go with the last one; an empty
+batch adds empty runs.
 """
 
 from __future__ import annotations
 
+import atexit
+import uuid
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import passages as P
 from scriptorium.llm import suffixarray
-from scriptorium.llm.runtime import Scratch
+from scriptorium.llm.runtime import Scratch, quietly_delete
+from scriptorium.session import spread
 
-MAX_RUNS = 2
 BATCHES = 3
+#: What the runs' order is worth to a join: that bucketed tables are read in it, and that a join by more columns than they are dealt by needs no shuffle.
+IN_ORDER = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+SCHEMAS = {"run": "key bigint, sub bigint, _d bigint, _t bigint, shown int", "windows": "key bigint, sub bigint, _d bigint, _t bigint"}
 
 #: Where a row comes from: the batch, history without written windows, history with them.
 NEW, OLD, SHOWN = 0, 1, 2
@@ -41,35 +53,98 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
+@dataclass(frozen=True)
+class Run:
+    kind: str
+    name: str
+    tier: int
+
+
 class FingerprintIndex:
-    """``ingest`` batches in ascending order of ids; each gives the marks of its repeated passages."""
+    """``ingest`` batches in ascending order of ids; each gives the marks of its repeated passages.
 
-    def __init__(self, scratch: Scratch, *, window: int = P.WINDOW, gram: int = P.GRAM, max_runs: int = MAX_RUNS):
-        self.scratch, self.window, self.gram, self.max_runs = scratch, window, gram, max_runs
-        self.runs: dict[str, DataFrame] = {}
-        self.window_runs: dict[str, DataFrame] = {}
+    ``folder`` must be shared; an index that is there already is opened with what it was made with.  ``scratch`` is for the
+    tables of a batch alone.
+    """
+
+    def __init__(self, scratch: Scratch, folder: str, *, window: int = P.WINDOW, gram: int = P.GRAM, buckets: int | None = None):
+        self.scratch, self.spark, self.folder = scratch, scratch.spark, folder.rstrip("/")
+        self.own = f"scriptorium_{uuid.uuid4().hex[:12]}"
+        self.runs: list[Run] = []
+        self.tables: dict[Run, str] = {}
         self.n = 0
+        self.window, self.gram, self.buckets = window, gram, buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        for key, value in IN_ORDER.items():
+            self.spark.conf.set(key, value)
+        self._open()
+        atexit.register(self._forget)
+
+    def _open(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest/*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        written = sorted(int(f.getPath().getParent().getName()) for f in found or [])
+        if not written:
+            return
+        rows = self.spark.read.parquet(f"{self.folder}/manifest/{written[-1]:08d}").collect()  # a row for each run, and one for the index
+        for r in rows:
+            if r.kind == "index":
+                self.n, self.window, self.gram, self.buckets = r.tier, r.window, r.gram, r.buckets
+        self.runs = [Run(r.kind, r.name, r.tier) for r in rows if r.kind != "index"]
+
+    def _commit(self) -> None:
+        rows = [("index", "", self.n, self.window, self.gram, self.buckets)] + [(r.kind, r.name, r.tier, None, None, None) for r in self.runs]
+        made = self.spark.createDataFrame(rows, "kind string, name string, tier int, window int, gram int, buckets int")
+        made.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/{self.n:08d}")
+
+    def _path(self, run: Run) -> str:
+        return f"{self.folder}/{run.kind}/{run.name}"
+
+    def table(self, run: Run) -> DataFrame:
+        """A run, which this application knows by a name of its own."""
+        if run not in self.tables:
+            name = f"{self.own}_{run.kind}_{run.name.replace('-', '_')}"
+            self.spark.sql(f"CREATE TABLE {name} ({SCHEMAS[run.kind]}) USING parquet CLUSTERED BY (key) SORTED BY (key, sub) INTO {self.buckets} BUCKETS LOCATION '{self._path(run)}'")
+            self.tables[run] = name
+        return self.spark.table(self.tables[run])
+
+    def _forget(self) -> None:
+        try:
+            for name in self.tables.values():
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # noqa: BLE001  the session is gone, and its catalog with it
+            pass
+
+    def _write(self, rows: DataFrame, run: Run) -> None:
+        """Rows in buckets already, as a new run."""
+        name = f"{self.own}_writes"
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        writer = rows.sortWithinPartitions("key", "sub").write.format("parquet").mode("overwrite").option("compression", "zstd").option("path", self._path(run))
+        writer.bucketBy(self.buckets, "key").sortBy("key", "sub").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        self.runs.append(run)
+
+    def _dealt(self, rows: DataFrame, *last: Column) -> DataFrame:
+        """One row for each key and sub key, in buckets."""
+        least = F.min(F.struct("_d", "_t")).alias("first")
+        return rows.repartition(self.buckets, "key").groupBy("key", "sub").agg(least, *last).select("key", "sub", "first._d", "first._t", *[c for c in ("shown",) if last])
 
-    def _sorted(self, df: DataFrame, name: str) -> DataFrame:
-        return self.scratch.keep(df.repartition("key").sortWithinPartitions("key", "sub"), name, compression="zstd")
+    def _history(self, kind: str, keys: DataFrame) -> DataFrame | None:
+        """Entries of the runs under the keys (in buckets), by a merge join with each run."""
+        found = [self.table(r).join(keys.hint("merge"), "key", "left_semi") for r in self.runs if r.kind == kind]
+        return _all(found) if found else None
 
-    def _history(self, runs: dict[str, DataFrame], keys: DataFrame, merged: bool) -> DataFrame | None:
-        """Entries of the runs under the given keys; ``merged``: one for each context, with what later entries say."""
-        if not runs:
-            return None
-        rows = _all(list(runs.values())).join(keys.hint("merge"), "key", "left_semi")
-        if not merged:
-            return rows
-        return rows.groupBy("key", "sub").agg(F.min(F.struct("_d", "_t")).alias("first"), F.max("shown").alias("shown")).select("key", "sub", "first._d", "first._t", F.when(F.col("shown") == 1, SHOWN).otherwise(OLD).cast("int").alias("of"))
+    def _keys(self, rows: DataFrame) -> DataFrame:
+        return rows.select("key").repartition(self.buckets, "key").distinct()
 
     def ingest(self, batch: DataFrame, history: DataFrame | None) -> DataFrame:
         """Marks of the batch's documents. ``batch``, ``history``: see ``passages.keyed``; history holds all earlier batches' texts."""
-        self.n += 1
-        own = f"{self.n:06d}"
+        own = f"{self.n + 1:06d}"
         keep, drop = self.scratch.keep, self.scratch.drop
         anchors = keep(P.anchor_rows(batch, self.window, self.gram).withColumn("of", F.lit(NEW)), f"anchors-{own}", compression="zstd")
-        old = self._history(self.runs, anchors.select("key").distinct(), merged=True)
-        every = anchors if old is None else anchors.unionByName(old)
+        every = anchors
+        if (old := self._history("run", self._keys(anchors))) is not None:
+            old = old.groupBy("key", "sub").agg(F.min(F.struct("_d", "_t")).alias("first"), F.max("shown").alias("shown"))
+            every = anchors.unionByName(old.select("key", "sub", "first._d", "first._t", F.when(F.col("shown") == 1, SHOWN).otherwise(OLD).cast("int").alias("of")))
         met = keep(P.sorted_neighbours(every, True, "of int", alone=True), f"met-{own}", compression="zstd")
         drop(f"anchors-{own}")
 
@@ -79,31 +154,46 @@ class FingerprintIndex:
             again = P.window_rows(history, shared.where(F.col("of") == OLD).select("_d", "_t", "sub"), self.window, self.gram)
             fresh = fresh.unionByName(again.withColumn("of", F.lit(OLD)))
         fresh = keep(fresh, f"fresh-{own}", compression="zstd")
-        old = self._history(self.window_runs, fresh.select("key").distinct(), merged=False)
+        old = self._history("windows", self._keys(fresh))
         every = fresh if old is None else fresh.unionByName(old.withColumn("of", F.lit(OLD)))
         repeated = P.sorted_neighbours(every, False, "of int").where(F.col("of") == NEW)
         marks = keep(P.marks(met.where((F.col("kind") == P.REPEAT) & (F.col("of") == NEW)), repeated), f"marks-{own}")
 
         entries = met.where((F.col("kind") != P.REPEAT) & ((F.col("of") == NEW) | ((F.col("of") == OLD) & (F.col("kind") == P.FIRST))))
-        self.runs[f"run-{own}"] = self._sorted(entries.select("key", "sub", "_d", "_t", (F.col("kind") == P.FIRST).cast("int").alias("shown")), f"run-{own}")
-        first = fresh.groupBy("key", "sub").agg(F.min(F.struct("_d", "_t")).alias("first")).select("key", "sub", "first._d", "first._t")
-        self.window_runs[f"windows-{own}"] = self._sorted(first, f"windows-{own}")
+        entries = entries.select("key", "sub", "_d", "_t", (F.col("kind") == P.FIRST).cast("int").alias("shown"))
+        self._write(self._dealt(entries, F.max("shown").alias("shown")), Run("run", f"{own}-0", 0))
+        self._write(self._dealt(fresh), Run("windows", f"{own}-0", 0))
         drop(f"met-{own}", f"fresh-{own}")
-        if len(self.runs) > self.max_runs:
-            self.compact()
+        self.n += 1
+        replaced = [x for kind in SCHEMAS for x in self._compact(kind)]
+        self._commit()
+        for run in replaced:  # no manifest to come names them
+            if name := self.tables.pop(run, None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            quietly_delete(self.spark, self._path(run))
         return marks
 
-    def compact(self) -> None:
-        """Merges the runs of either kind to one and drops those that it replaces."""
-        least = F.min(F.struct("_d", "_t")).alias("first")
-        runs = _all(list(self.runs.values())).groupBy("key", "sub").agg(least, F.max("shown").alias("shown")).select("key", "sub", "first._d", "first._t", "shown")
-        windows = _all(list(self.window_runs.values())).groupBy("key", "sub").agg(least).select("key", "sub", "first._d", "first._t")
-        for held, df, name in ((self.runs, runs, "run"), (self.window_runs, windows, "windows")):
-            replaced = list(held)
-            table = self._sorted(df, f"{name}-upto-{self.n:06d}")
-            held.clear()
-            held[f"{name}-upto-{self.n:06d}"] = table
-            self.scratch.drop(*replaced)
+    def _compact(self, kind: str) -> list[Run]:
+        """Merges two runs of a tier to one of the next, as long as there are two of any; those that were replaced."""
+        replaced = []
+        while True:
+            tiers = [r.tier for r in self.runs if r.kind == kind]
+            twice = [t for t in tiers if tiers.count(t) > 1]
+            if not twice:
+                return replaced
+            a, b = [r for r in self.runs if r.kind == kind and r.tier == min(twice)][:2]
+            merged = Run(kind, f"{self.n:06d}-{a.tier + 1}", a.tier + 1)
+            self._write(self.merged(a, b), merged)
+            self.runs = [r for r in self.runs if r not in (a, b)]
+            replaced += [a, b]
+
+    def merged(self, a: Run, b: Run) -> DataFrame:
+        """Both runs' entries, one for each key and sub key: a merge join of the runs as they lie."""
+        pairs = self.table(a).alias("a").join(self.table(b).alias("b").hint("merge"), ["key", "sub"], "full_outer")
+        first = lambda s: F.when(F.col(f"{s}._d").isNotNull(), F.struct(F.col(f"{s}._d").alias("_d"), F.col(f"{s}._t").alias("_t")))
+        shown = [F.greatest("a.shown", "b.shown").alias("shown")] if a.kind == "run" else []
+        rows = pairs.select("key", "sub", F.least(first("a"), first("b")).alias("first"), *shown)
+        return rows.select("key", "sub", "first._d", "first._t", *["shown" for _ in shown])
 
 
 def batches_of(source: DataFrame, n: int) -> list[DataFrame]:
@@ -115,10 +205,10 @@ def batches_of(source: DataFrame, n: int) -> list[DataFrame]:
 
 
 def op4_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, in batches by id; windows of 50 words."""
+    """All documents, in batches by id; windows of 50 words. The index goes when the application ends."""
     scratch = Scratch(spark, "op4")
-    source = P.keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    index = FingerprintIndex(scratch)
+    source = P.keyed(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), "doc_id", "text")
+    index = FingerprintIndex(scratch, scratch.path("index"))
     marks, history = [], None
     for batch in batches_of(source, BATCHES):
         marks.append(index.ingest(batch, history))
