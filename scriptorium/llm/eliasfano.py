@@ -17,6 +17,9 @@ import numpy as np
 
 SAMPLE = 256
 _HEAD = struct.Struct("<QQB")
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+#: Place of the i-th one of each byte.
+_SELECT = np.argsort(1 - _BITS, axis=1, kind="stable")
 
 
 @dataclass
@@ -87,6 +90,23 @@ class EliasFano:
             raise IndexError(i)
         return ((self.select(i) - i) << self.low_bits) + int(self._low(i, 1)[0])
 
+    def at(self, which: np.ndarray) -> np.ndarray:
+        """The values asked for, by select: from counts of ones before each byte of the high bits, then within the byte."""
+        which = np.asarray(which, dtype=np.int64)
+        if not len(which):
+            return np.zeros(0, dtype=np.int64)
+        before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.high), dtype=np.uint32)])
+        byte = np.searchsorted(before, which, side="right") - 1
+        place = byte * 8 + _SELECT[self.high[byte], which - before[byte]]
+        high = (place - which).astype(np.uint64) << np.uint64(self.low_bits)
+        if not self.low_bits:
+            return high.astype(np.int64)
+        low = np.zeros(len(which), dtype=np.uint64)
+        for k in range(self.low_bits):
+            bit = which * self.low_bits + k
+            low |= ((self.low[bit // 8] >> (bit % 8).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(k)
+        return (high | low).astype(np.int64)
+
     def values(self) -> np.ndarray:
         """All values at once."""
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]

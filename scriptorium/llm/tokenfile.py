@@ -9,17 +9,21 @@ whose select gives any document's offset without a table of offsets.  A
 document's place in the whole array is its shard's start (a running sum over
 shards) + the block's + the boundary's.
 
-Shards are ranges of document ids between approximate quantiles; documents are
+Shards are ranges of document ids between approximate quantiles, one for each
+``SHARD_BYTES`` of text (and no fewer than there are shuffle partitions); documents are
 encoded before they are shuffled, so only ids move.  An id that several
 quantiles fall on is spread over their shards by a checksum of its tokens.  A
 shard is read in order and cut into blocks of ``BLOCK_IDS`` ids, so no task
 holds more than a block and one document.
 
-The encoder's vocabulary drops white space between words, so a text's ids are
-those of its words (split at ASCII white space) one after another, and a word's
-those of the parts that the tokenizer merges separately; each worker keeps the
-ids of the words and parts it met last, up to twice ``CACHED_WORDS`` of each, over
-all its tasks, and those beyond 64 characters are encoded anew each time.
+Encoding is the library's.  Where the tokenizer's file says that white space only
+parts words (see ``split_of``), a text's ids are those of its words (split at ASCII
+white space) one after another, and a plain word's those of the parts that the
+file's own pattern makes of it; each worker then keeps the ids of the words and
+parts it met last, up to twice ``KEPT_BYTES`` of each, over all its tasks.  With any
+other file whole texts go through the library.  Strings of special tokens within a
+text become those tokens, as the library has it, or are ordinary text if
+``specials_as_text`` is set.
 
 Defined results: a null text is an empty one (the end id alone); documents with
 a null id come first; repeated ids are ordered by checksum, then ids; columns
@@ -28,6 +32,7 @@ other than the id and the text are not read.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -40,20 +45,38 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.eliasfano import EliasFano
 from scriptorium.llm.runtime import Scratch, tuned
+from scriptorium.session import spread
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
-CACHED_WORDS = 400_000
+#: About what each of two generations of words, and of parts of words, may take in a worker.
+KEPT_BYTES = 64 << 20
+#: Bytes of text that a shard is made for.
+SHARD_BYTES = 64 << 20
 
 BLOCKS = "shard int, block int, before bigint, n_docs int, n_ids bigint, width int, null_ids int, doc_ids binary, ids binary, bounds binary"
 
 
-#: Fixed value: the vocabulary's own split of lower-cased text, by which words of plain characters are taken apart.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters up to U+00FF without controls and white space: lower-casing is one to one, and composition changes nothing.
 PLAIN = r"[!-~\u00a1-\u00ac\u00ae-\u00ff]+"
 
 
+def split_of(spec: dict) -> str | None:
+    """The pattern by which a tokenizer (its file's contents) splits lower-cased words into the parts that it merges, if it treats each word by itself; else None."""
+    normal, pre, model = (spec.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = [(x.get("type"), (x.get("pattern") or {}).get("Regex"), x.get("content")) for x in normal.get("normalizers", [])]
+    if steps != [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)] or model.get("type") != "BPE" or model.get("dropout"):
+        return None
+    split, level = (*pre.get("pretokenizers", []), {}, {})[:2]
+    if split.get("type") != "Split" or split.get("behavior") != "Removed" or not split.get("invert") or level.get("type") != "ByteLevel" or level.get("add_prefix_space") or level.get("use_regex"):
+        return None
+    pattern = (split.get("pattern") or {}).get("Regex")
+    if spec.get("post_processor") or spec.get("truncation") or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or len(t["content"].split()) != 1 for t in spec.get("added_tokens", [])):
+        return None
+    # only where no alternative takes white space can a part not reach from one word to the next
+    return pattern if pattern and pattern.endswith(r"[^\s\p{L}\p{N}]+") and " " not in pattern and pattern.count(r"\s") == 1 else None
+
+
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: itself if it is printed, else the next from U+0100 on."""
     printed = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -65,37 +88,46 @@ BYTE_LETTERS = _byte_letters()
 
 
 class Recent(dict):
-    """Values of the keys met last: a young generation, which becomes the old one when it is full."""
+    """Values of the keys met last: a young generation, which becomes the old one when it has taken ``KEPT_BYTES``."""
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
         self.make = make
         self.old: dict[str, bytes] = {}
+        self.taken = 0
 
     def __missing__(self, key: str) -> bytes:
         if (value := self.old.get(key)) is None:
             value = self.make(key)
         if len(key) <= 64:
-            if len(self) >= CACHED_WORDS:
+            self.taken += 200 + 2 * len(key) + len(value)
+            if self.taken > KEPT_BYTES:
                 self.old = dict(self)
                 self.clear()
+                self.taken = 0
             self[key] = value
         return value
 
 
-class WordIds:
-    """Packed ids of words as the tokenizer gives them; words of plain characters by their parts."""
+class TextIds:
+    """Packed ids of texts as the tokenizer gives them; where words stand alone, of words of plain characters by their parts."""
 
-    def __init__(self, file: str, dtype: np.dtype):
+    def __init__(self, file: str, dtype: np.dtype, specials_as_text: bool):
         import regex
         from tokenizers import Tokenizer
 
+        with open(file, encoding="utf-8") as lines:
+            spec = json.load(lines)
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = specials_as_text
         self.dtype = dtype
-        self.parts, self.plain = regex.compile(SPLIT).findall, regex.compile(PLAIN).fullmatch
-        self.merge = self.tokenizer.model.tokenize
-        self.part, self.word = Recent(self._part), Recent(self._word)
+        self.by_words = split_of(spec)
+        if self.by_words:
+            specials = [regex.escape(t["content"]) for t in spec.get("added_tokens", [])]
+            self.special = regex.compile("|".join(specials) or r"(?!)").search
+            self.parts, self.plain = regex.compile(self.by_words).findall, regex.compile(PLAIN).fullmatch
+            self.merge = self.tokenizer.model.tokenize
+            self.part, self.word = Recent(self._part), Recent(self._word)
 
     def _part(self, part: str) -> bytes:
         if not part.isascii():
@@ -106,20 +138,22 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if self.plain(word):
+        if self.plain(word) and not self.special(word):
             return b"".join(map(self.part.__getitem__, self.parts(word.lower())))
         return self._encoded(word)
 
     def text(self, text: str) -> bytes:
+        if not self.by_words:
+            return self._encoded(text)
         for space in "\t\n\x0b\x0c\r":
             text = text.replace(space, " ")
         return b"".join(map(self.word.__getitem__, text.split(" ")))
 
 
 @cache
-def _worker(file: str, wide: bool) -> WordIds:
+def _worker(file: str, wide: bool, specials_as_text: bool) -> TextIds:
     """What one worker keeps."""
-    return WordIds(file, np.dtype("<u4" if wide else "<u2"))
+    return TextIds(file, np.dtype("<u4" if wide else "<u2"), specials_as_text)
 
 
 def _id_type(vocabulary: int) -> np.dtype:
@@ -132,13 +166,13 @@ def _vocabulary(file: str) -> int:
     return Tokenizer.from_file(file).get_vocab_size()
 
 
-def encoded(docs: DataFrame, file: str, end_id: int, bounds: list[int]) -> DataFrame:
+def encoded(docs: DataFrame, file: str, end_id: int, bounds: list[int], specials_as_text: bool = False) -> DataFrame:
     """(_id, _shard, _tie, _ids) of each document; the ids packed, with the end id."""
     dtype = _id_type(max(_vocabulary(file), end_id + 1))
     edges = np.array(bounds, dtype=np.int64)
 
     def run(batches):
-        words = _worker(file, dtype.itemsize == 4)
+        words = _worker(file, dtype.itemsize == 4, specials_as_text)
         end = np.array([end_id], dtype=dtype).tobytes()
         for batch in batches:
             ids = batch.column(0)
@@ -214,7 +248,8 @@ class TokenFiles:
         def read(batches):
             for batch in batches:
                 for row in batch.to_pylist():
-                    bounds = EliasFano.from_bytes(row["bounds"]).values()
+                    coded = EliasFano.from_bytes(row["bounds"])
+                    bounds = coded.at(np.arange(coded.n))  # by select
                     first = np.concatenate([[0], bounds[:-1]])
                     ids = np.frombuffer(row["ids"], "<u2" if row["width"] == 2 else "<u4").astype("<u4").tobytes()
                     known = pa.array(np.frombuffer(row["doc_ids"], "<i8"))
@@ -249,15 +284,17 @@ class TokenFiles:
         return self.blocks.select("shard", "before", "width", "null_ids", "doc_ids", "ids", "bounds").mapInArrow(read, "_id bigint, start bigint, ids binary")
 
 
-def write(docs: DataFrame, scratch: Scratch, file: str, *, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> TokenFiles:
+def write(docs: DataFrame, scratch: Scratch, file: str, *, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, specials_as_text: bool = False) -> TokenFiles:
     """Encodes the documents and writes them in ascending order of their (integer) id below the scratch folder."""
     spark = tuned(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    shards = shards or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     cuts = [k / shards for k in range(1, shards)]
     bounds = source.agg(F.percentile_approx("_id", cuts or [0.5], 100 * shards)).first()[0] or []
     width = _id_type(max(_vocabulary(file), end_id + 1)).itemsize
-    dealt = encoded(source, file, end_id, sorted(bounds)).repartition(shards, "_shard").sortWithinPartitions("_shard", "_id", "_tie", "_ids")
+    dealt = encoded(source, file, end_id, sorted(bounds), specials_as_text).repartition(shards, "_shard").sortWithinPartitions("_shard", "_id", "_tie", "_ids")
     blocks = dealt.select("_id", "_shard", "_ids").mapInArrow(_pack(width), BLOCKS)
     return TokenFiles(scratch.keep(blocks, "tokens", compression="zstd"))
 
@@ -267,6 +304,6 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     scratch = Scratch(spark, "op5")
-    files = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch, public_tokenizers.path("word_bpe_49k.json"))
+    files = write(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), scratch, public_tokenizers.path("word_bpe_49k.json"))
     out = files.documents().select(F.col("_id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
     return scratch.until_exit(out)
