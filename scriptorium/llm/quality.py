@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import textcore as T
 from scriptorium.llm.runtime import tuned, type_of
+from scriptorium.session import spread
 
 BITS = 18
 MAX_ROWS = 8000
@@ -171,7 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     sparse = rows.select("_id", "_y", "_text").mapInArrow(vectors, f"_id {type_of(rows, '_id')}, _y double, at binary, x binary")
     one = sparse.repartition(1).sortWithinPartitions("_id", "_y", "at", "x").select("_y", "at", "x")
-    bias, weights = one.mapInArrow(_train(bits, epochs), "bias double, weights binary").first()
+    found = one.mapInArrow(_train(bits, epochs), "bias double, weights binary").first()
+    if found is None:  # no labelled row has a text
+        return Model(bits, 0.0, np.zeros(1 << bits))
+    bias, weights = found
     return Model(bits, bias, np.frombuffer(bytes(weights), "<f4").astype(np.float64))
 
 
@@ -211,7 +215,7 @@ def remainder(doc_id: Column) -> Column:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, learned from labels that are not held out."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder(F.col("doc_id")) != 2)
     found = score(docs, fit(docs, labels))
     return found.select("doc_id", (remainder(F.col("doc_id")) == 2).alias("held_out"), "score", F.when(F.col("score") >= ACCEPT, 1).otherwise(0).alias("predicted"))
