@@ -12,8 +12,8 @@ root of the number of dimensions left, and ``EPSILON`` deviations are granted.
 Equal vectors are one candidate with their ``k + 1`` smallest ids, which are all
 that a result can name of them, and equal queries are searched once, so a very
 frequent vector costs no more than others.  Lists are split in parts of at most
-about ``PART`` vectors, and queries in blocks, so no task holds more than a part and a
-block.  Centroids are fitted on at most ``SAMPLE`` vectors (a documented bound);
+about ``PART`` vectors, and queries in blocks of about ``BLOCK``, so no task holds more
+than a part and a block; vectors are sent once for each block of queries.  Centroids are fitted on at most ``SAMPLE`` vectors (a documented bound);
 every vector is indexed.  What is broadcast is the centroids and the rotation.
 
 Defined results: vectors that are null, zero, of another length than most, or
@@ -40,8 +40,10 @@ MAX_LISTS = 1024
 #: Share of the lists that a query scans (vectors without clusters need as many), and the least number.
 PROBED = 0.6
 LEAST_PROBED = 32
-PART = 4096
-BLOCK = 1024
+PART = 8192
+BLOCK = 8192
+#: Queries whose products with a part's first columns are made at once.
+AT_ONCE = 256
 COLUMNS = 16
 EPSILON = 3.0
 
@@ -85,10 +87,11 @@ def adaptive_scan(queries: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[n
     edges = [*range(COLUMNS, dim, COLUMNS), dim]
     rest = [np.sqrt(np.maximum(0, (rows[:, e:] ** 2).sum(axis=1))) for e in edges]
     rest_q = [np.sqrt(np.maximum(0, (queries[:, e:] ** 2).sum(axis=1))) for e in edges]
-    first = queries[:, : edges[0]] @ rows[:, : edges[0]].T
     out = []
     for i, q in enumerate(queries):
-        part = first[i]
+        if i % AT_ONCE == 0:
+            first = queries[i : i + AT_ONCE, : edges[0]] @ rows[:, : edges[0]].T
+        part = first[i % AT_ONCE]
         if len(part) > k:
             seeds = np.argpartition(-part, k - 1)[:k]
             bar = (rows[seeds] @ q).min()
