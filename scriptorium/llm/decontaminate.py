@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import textcore as T
 from scriptorium.llm.runtime import shared_folder, tuned, type_of
+from scriptorium.session import spread
 
 WINDOW = 10
 SHINGLE = 3
@@ -268,7 +269,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
-    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = contamination(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.aggregate("hit", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return found.select(
         "doc_id",

@@ -58,6 +58,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm import textcore as T
 from scriptorium.llm.components import components
 from scriptorium.llm.runtime import Scratch, few
+from scriptorium.session import spread
 
 SHINGLE = 5
 SIMILARITY = Fraction(4, 5)
@@ -596,7 +597,7 @@ def one_of_each_group(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_i
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; shingles of 3 words, similarity 0.9."""
     scratch = Scratch(spark, "op2")
-    groups = linked_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch, shingle=3, similarity=Fraction(9, 10))
+    groups = linked_groups(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), scratch, shingle=3, similarity=Fraction(9, 10))
     return scratch.until_exit(groups.select(F.col("_d").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")))
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import random
 import zlib
 from fractions import Fraction
@@ -57,10 +58,29 @@ def grams(text: str | None, n: int) -> set:
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize(("n", "t", "meeting"), [(3, Fraction(9, 10), 256), (5, Fraction(4, 5), 3)])
-def test_jaccard_components(spark, monkeypatch, n, t, meeting):
+def chains(seed: int) -> list[str]:
+    """Groups whose members are each a near copy of the one before, and passages that many texts share, ids shuffled."""
+    rng = random.Random(seed)
+    out = []
+    for length in (30, 60):
+        text = [f"c{rng.randrange(500)}" for _ in range(length)]
+        for _ in range(25):
+            text = list(text)
+            text[rng.randrange(length)] = f"c{rng.randrange(500)}"
+            out.append(" ".join(text))
+    passage = [f"p{k}" for k in range(40)]
+    for _ in range(40):
+        out.append(" ".join(passage + [f"c{rng.randrange(500)}" for _ in range(rng.choice([3, 8, 12, 30]))]))
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize(("n", "t", "meeting", "dense", "of"), [(3, Fraction(9, 10), 1024, 64, near_copies), (5, Fraction(4, 5), 3, 0, near_copies), (5, Fraction(4, 5), 1024, 64, chains), (5, Fraction(4, 5), 60, 0, chains), (3, Fraction(9, 10), 4, 1, chains)])
+def test_jaccard_components(spark, monkeypatch, n, t, meeting, dense, of):
     monkeypatch.setattr(jaccard, "MEETING", meeting)
-    texts = near_copies(n)
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    monkeypatch.setattr(jaccard, "SMALL", 12 if dense else 1)
+    texts = of(n)
     sets = [grams(x, n) for x in texts]
     parent = list(range(len(texts)))
 
@@ -93,31 +113,73 @@ def test_jaccard_of_ids_with_an_empty_row(spark, first):
     assert {(r._d, r.component) for r in found} == expected
 
 
-def test_passages_by_both_operators(spark):
-    rng = random.Random(3)
-    word = lambda: f"w{rng.randrange(5000)}"
-    shared = [word() for _ in range(60)]
-    texts = [" ".join([word() for _ in range(30)] + shared[: 40 + 5 * k] + [word() for _ in range(30)]) for k in range(5)] + [" ".join(["same"] * 300)] * 3
-    docs = documents(spark, texts)
+def removed(texts, window=50):
+    """What is left of each text without words in windows that start in a text with a smaller number."""
     seen: dict[tuple, int] = {}
-    expected = {}
+    out = {}
     for i, text in enumerate(texts):
-        w = text.split()
+        w = (text or "").split()
         gone = set()
-        for s in range(len(w) - 49):
-            if seen.setdefault(tuple(w[s : s + 50]), i) < i:
-                gone.update(range(s, s + 50))
-        expected[i] = hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()
-    source = passages.keyed(docs, "doc_id", "text")
-    scratch = Scratch(spark, "t")
-    by_suffixes = suffixarray.digested(source, suffixarray.repeats(source, scratch))
-    index, marks, history = fingerprints.FingerprintIndex(Scratch(spark, "t"), max_runs=1), None, None
-    for batch in fingerprints.batches_of(source, 4):
+        for s in range(len(w) - window + 1):
+            if seen.setdefault(tuple(w[s : s + window]), i) < i:
+                gone.update(range(s, s + window))
+        out[i] = hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()
+    return out
+
+
+def passages_of(seed: int) -> list[str | None]:
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(5000)}"
+    shared = [word() for _ in range(60)]
+    texts = [" ".join([word() for _ in range(30)] + shared[: 40 + 5 * k] + [word() for _ in range(30)]) for k in range(5)] + [" ".join(["same"] * 300)] * 3
+    common = [word() for _ in range(120)]
+    for _ in range(30):  # passages that begin and end anywhere, some with a word changed
+        lo = rng.randrange(60)
+        part = common[lo : lo + rng.randrange(30, 70)]
+        if rng.random() < 0.3:
+            part[rng.randrange(len(part))] = word()
+        texts.append(" ".join([word() for _ in range(rng.randrange(20))] + part + [word() for _ in range(rng.randrange(20))]))
+    return [*texts, None, "", texts[0], " ".join(["a", "b"] * 60)]
+
+
+@pytest.mark.parametrize("held", [8192, 3])
+def test_passages_by_suffixes(spark, monkeypatch, held):
+    monkeypatch.setattr(suffixarray, "HELD", held)
+    texts = passages_of(3)
+    source = passages.keyed(documents(spark, texts), "doc_id", "text")
+    found = suffixarray.digested(source, suffixarray.repeats(source, Scratch(spark, "t"))).collect()
+    assert {r.doc_id: r.kept_sha256 for r in found} == removed(texts)
+
+
+def test_common_starts_of_sorted_suffixes():
+    rows = [np.array(x, ">u8").tobytes() for x in ([1, 2], [1, 2, 0], [1, 2, 3], [1, 3, 3], [2])]
+    assert suffixarray.common_starts(*suffixarray._matrix(rows, 3)).tolist() == [0, 2, 2, 1, 0]
+
+
+def test_passages_by_an_index_that_is_opened_again(spark, tmp_path):
+    texts = passages_of(4)
+    source = passages.keyed(documents(spark, texts), "doc_id", "text")
+    marks, history = None, None
+    for k, batch in enumerate(fingerprints.batches_of(source, 5)):
+        index = fingerprints.FingerprintIndex(Scratch(spark, "t"), f"file://{tmp_path}/index", buckets=3 if not k else 7)  # as a later application does
+        assert (index.n, index.buckets) == (k, 3)
         own = index.ingest(batch, history)
         marks = own if marks is None else marks.unionByName(own)
         history = batch if history is None else history.unionByName(batch)
-    for found in (by_suffixes, suffixarray.digested(source, marks)):
-        assert {r.doc_id: r.kept_sha256 for r in found.collect()} == expected
+    assert sorted((r.kind, r.tier) for r in index.runs) == [("run", 0), ("run", 2), ("windows", 0), ("windows", 2)]
+    assert {r.doc_id: r.kept_sha256 for r in suffixarray.digested(source, marks).collect()} == removed(texts)
+    merged = index.merged(*[r for r in index.runs if r.kind == "run"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in merged  # runs lie in buckets
+    assert index.table(index.runs[0]).groupBy("key", "sub").count().where("count > 1").isEmpty()
+
+
+def test_index_of_odd_rows(spark, odd, tmp_path):
+    index = fingerprints.FingerprintIndex(Scratch(spark, "t"), f"file://{tmp_path}/odd")
+    source = passages.keyed(odd, "doc_id", "text")
+    marks = index.ingest(source.where("_d < 7"), None)
+    marks = marks.unionByName(index.ingest(source.where("false"), source.where("_d < 7"))).unionByName(index.ingest(source.where("_d >= 7"), source.where("_d < 7")))
+    rows = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed) for r in suffixarray.digested(source, marks).collect())
+    assert rows == [(False, 1, 0, 0), (False, 2, 0, 0), (False, 3, 0, 0), (False, 4, 1, 0), (False, 4, 1, 0), (False, 5, 2, 0), (False, 6, 30_000, 0), (False, 7, 30_000, 30_000), (False, 8, 1, 0), (True, 0, 30_000, 30_000)]
 
 
 def test_decontamination_in_blocks(spark):
@@ -134,17 +196,22 @@ def test_elias_fano():
         values = np.sort(rng.integers(0, 10**6, n))
         coded = EliasFano.from_bytes(EliasFano.of(values).to_bytes())
         assert coded.values().tolist() == values.tolist() and [coded[i] for i in range(n)] == values.tolist()
+        some = rng.permutation(n)[: n // 2 + 1]
+        assert coded.at(some).tolist() == values[some].tolist() and coded.at(np.arange(n)).tolist() == values.tolist()
 
 
-def test_token_files_match_the_library(spark, monkeypatch):
+@pytest.mark.parametrize(("name", "as_text"), [("word_bpe_49k.json", False), ("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_token_files_match_the_library(spark, monkeypatch, name, as_text):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(tokenfile, "BLOCK_IDS", 50)
-    texts = ["", None, "Hello, WORLD's 123 ½ ñ é 漢字 \x1c x\xa0y", "ß İ Σ</w> <|endoftext|>", *[f"doc {i} thhaen's" for i in range(40)]]
-    file = P.path("word_bpe_49k.json")
+    texts = ["", None, "Hello, WORLD's 123 ½ ñ é 漢字 \x1c x\xa0y", "ß İ Σ</w> <|endoftext|> a<|startoftext|>b \n <|endoftext|>", LONG, *[f"doc {i} thhaen's" for i in range(40)]]
+    file = P.path(name)
     library = Tokenizer.from_file(file)
-    library.encode_special_tokens = True
-    rows = {r._id: r for r in tokenfile.write(documents(spark, texts), Scratch(spark, "t"), file, shards=3).documents().collect()}
+    if as_text:
+        library.encode_special_tokens = True
+    made = tokenfile.write(documents(spark, texts), Scratch(spark, "t"), file, shards=3, specials_as_text=as_text)
+    rows = {r._id: r for r in made.documents().collect()}
     start = 0
     for i, text in enumerate(texts):
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
@@ -152,6 +219,14 @@ def test_token_files_match_the_library(spark, monkeypatch):
         start += len(ids)
 
 
+def test_which_tokenizers_encode_word_by_word():
+    specs = {name: json.load(open(P.path(name), encoding="utf-8")) for name in ("word_bpe_49k.json", "byte_bpe_50k.json")}
+    assert tokenfile.split_of(specs["word_bpe_49k.json"]).startswith("'s|") and tokenfile.split_of(specs["byte_bpe_50k.json"]) is None
+    other = json.loads(json.dumps(specs["word_bpe_49k.json"]))
+    other["normalizer"]["normalizers"].pop()
+    assert tokenfile.split_of(other) is None and tokenfile.split_of({}) is None
+
+
 def test_one_document_of_the_token_files(spark, monkeypatch):
     monkeypatch.setattr(tokenfile, "BLOCK_IDS", 12000)
     rows = [(i, f"doc {i} thhaen's " * (i % 7)) for i in range(900)] + [(5, "twice"), (None, "none"), (None, "")]
@@ -163,14 +238,14 @@ def test_one_document_of_the_token_files(spark, monkeypatch):
 
 
 def test_ids_of_another_text_are_an_error():
-    coder = bpe._encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)[1].transducer
+    coder = bpe._encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).transducer
     packed = [np.array(coder.encode(t.encode()), "<u4").tobytes() for t in ("año", "", "")]
     bpe.checked(pa.array(["año", None, ""]), packed, coder.bytes_of)
     with pytest.raises(ValueError, match="another text"):
         bpe.checked(pa.array(["ano", None, ""]), packed, coder.bytes_of)
 
 
-def test_byte_bpe_matches_the_library(spark):
+def test_byte_bpe_matches_the_library(spark, monkeypatch):
     import tiktoken
 
     with open(P.path("byte_bpe_50k.tiktoken"), "rb") as lines:
@@ -182,6 +257,15 @@ def test_byte_bpe_matches_the_library(spark):
     whole = tiktoken.Encoding("whole", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
     assert all(coder.encode(t.encode()) == whole.encode_ordinary(t) for t in texts)
     rows = {r.doc_id: r for r in bpe.round_trip(documents(spark, [*texts, None, ""]), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    monkeypatch.setattr(bpe, "SETTLED_EACH", 150)
+    long = ["".join(rng.choice(["a", "the", "ing", "é", "漢", "zz", "x"]) for _ in range(900)) for _ in range(20)]
+    assert all(coder.encode(t.encode()) == whole.encode_ordinary(t) for t in [*texts, *long, "z" * 2500])
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 5000)
+    monkeypatch.setattr(bpe, "PAIR_BYTES", 5000)
+    monkeypatch.setattr(bpe, "STATE_BYTES", 5000)
+    own = bpe.Encoder(ranks, P.PATTERN)
+    assert all(np.frombuffer(own.text(x), "<u4").tolist() == library.encode_ordinary(x) for x in texts)
+    monkeypatch.setattr(bpe, "PUSH", 7)
     for i, text in enumerate([*texts, "", ""]):
         assert np.frombuffer(rows[i].ids, "<u4").tolist() == library.encode_ordinary(text) and rows[i].text == text
     decoder = bpe.StreamDecoder(coder.bytes_of)
@@ -229,7 +313,29 @@ def test_chat_windows_round_trip(spark):
         own = [r for r in rows if r.conv == conv]
         assert [(x.role, x.text) for r in own for x in r.turns[r.n_repeated :]] == [(t[2] or "", t[3] or "") for t in order]
         assert "".join(r.masked for r in own) == "".join(t[3] or "" for t in order if t[2] == "assistant")
-        assert all(r.turns[0].role == "system" for r in own[1:] if r.n_repeated)
+        assert all(r.tokens <= 200 or (r.n_new, r.n_repeated) == (1, 0) for r in own)
+        sizes = [sum(-(-len(f"<|im_start|>{x.role}<|im_sep|>{chat_escaped(x.text)}<|im_end|>") // 4) for x in r.turns[r.n_repeated :]) for r in own]
+        assert sum(a + b <= (200 - 40) // 2 for a, b in zip(sizes, sizes[1:], strict=False)) <= len(own) // 3  # windows are filled, but at the ends of stretches
+
+
+def chat_escaped(text):
+    out = text.replace("\\", "\\\\")
+    for control in chat.CONTROL:
+        out = out.replace(control, f"{control[0]}\\{control[1:]}")
+    return out
+
+
+def test_chat_windows_keep_the_budget(spark):
+    turns = [(1, 0, "system", "s" * 600)] + [(1, k, "user" if k % 2 else "assistant", "x" * size) for k, size in enumerate([100, 1400, 5, 5, 5000, 20, 1400, 1400, 30, 2500, 40] * 3, 1)]
+    turns += [(2, 0, "system", "s" * 6000), (2, 1, "assistant", "y"), (3, None, None, None), (4, 0, "assistant", "z" * 100_000)]
+    rows = spark.createDataFrame([(*t, 1, 2, "n") for t in turns], "conv_id long, turn long, role string, text string, place int, window int, tokens string")
+    made = chat.windows(rows, Scratch(spark, "t"), budget=1024).select("*", chat.parsed(F.col("formatted")).alias("turns")).orderBy("conv", "window").collect()
+    assert all(r.tokens <= 1024 or (r.n_new, r.n_repeated) == (1, 0) for r in made)
+    assert {r.conv: sum(x.n_new for x in made if x.conv == r.conv) for r in made} == {1: 34, 2: 2, 3: 1, 4: 1}
+    assert all(r.turns[0].role == "system" for r in made if r.conv == 1 and r.tokens <= 1024)
+    words = chat.windows(rows, Scratch(spark, "t"), budget=8, history_budget=2, count=lambda p: F.size(F.split(p, "x{50}"))).collect()
+    assert all(r.tokens <= 8 or (r.n_new, r.n_repeated) == (1, 0) for r in words)
+    assert chat.windows(rows.where("false"), Scratch(spark, "t")).isEmpty()
 
 
 def test_url_rules(spark):
