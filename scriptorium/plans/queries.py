@@ -504,8 +504,8 @@ def covered_characters(spark, d):
 _SCORED = "SELECT l.doc_id, CASE WHEN l.doc_id % 5 = 0 THEN 'mixto' WHEN quality = 1 THEN 'ia' ELSE 'humano' END AS label, CAST(l.doc_id % 101 AS INTEGER) AS ai FROM labels l"
 
 
-@query(f"SELECT CAST(doc_id AS VARCHAR) AS path, label, ai AS ai_probability, CASE label WHEN 'ia' THEN 1 WHEN 'humano' THEN 0 END AS y, CAST(ai >= 50 AS INTEGER) AS predicted, ai / 100.0 AS p, CASE label WHEN 'mixto' THEN ai BETWEEN 30 AND 70 WHEN 'ia' THEN ai >= 50 ELSE ai < 50 END AS \"right\" FROM ({_SCORED})")
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS path, label, ai AS ai_probability, CAST(ai >= 50 AS INTEGER) AS predicted, ai / 100.0 AS p, CASE label WHEN 'mixto' THEN ai BETWEEN 30 AND 70 WHEN 'ia' THEN ai >= 50 ELSE ai < 50 END AS \"right\" FROM ({_SCORED})")
 def evaluation_rows(spark, d):
     label = F.when(F.col("doc_id") % 5 == 0, "mixto").when(F.col("quality") == 1, "ia").otherwise("humano")
     rows = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("path"), label.alias("label"), (F.col("doc_id") % 101).cast("int").alias("ai_probability"))
-    return evaluation.judged(rows)
+    return evaluation.judged(rows).drop("y")
