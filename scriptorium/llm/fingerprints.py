@@ -29,6 +29,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -74,11 +76,21 @@ class FingerprintIndex:
         self.tables: dict[Run, str] = {}
         self.n = 0
         self.window, self.gram, self.buckets = window, gram, buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        for key, value in IN_ORDER.items():
-            self.spark.conf.set(key, value)
         self._open()
         atexit.register(self._forget)
 
+    @contextmanager
+    def in_order(self) -> Iterator[None]:
+        """While the runs' order counts in the session's joins."""
+        before = {key: self.spark.conf.get(key) for key in IN_ORDER}
+        for key, value in IN_ORDER.items():
+            self.spark.conf.set(key, value)
+        try:
+            yield
+        finally:
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
+
     def _open(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest/*/_SUCCESS")
         found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
@@ -138,6 +150,10 @@ class FingerprintIndex:
 
     def ingest(self, batch: DataFrame, history: DataFrame | None) -> DataFrame:
         """Marks of the batch's documents. ``batch``, ``history``: see ``passages.keyed``; history holds all earlier batches' texts."""
+        with self.in_order():
+            return self._ingest(batch, history)
+
+    def _ingest(self, batch: DataFrame, history: DataFrame | None) -> DataFrame:
         own = f"{self.n + 1:06d}"
         keep, drop = self.scratch.keep, self.scratch.drop
         anchors = keep(P.anchor_rows(batch, self.window, self.gram).withColumn("of", F.lit(NEW)), f"anchors-{own}", compression="zstd")

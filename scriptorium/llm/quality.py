@@ -77,6 +77,7 @@ def _shapes(words: T.Words, letters: np.ndarray) -> np.ndarray:
     length = np.minimum(np.log2(n + 1).astype(np.int64) if len(n) else n, 7)
     same = np.zeros(len(n), dtype=np.int64)
     same[1:] = words.hash[1:] == words.hash[:-1]
+    same[words.first[:-1][words.counts > 0]] = 0  # what stands before a text is another one
     return (((letters * 4 + capitals) * 2 + digits) * 8 + length) * 2 + same
 
 

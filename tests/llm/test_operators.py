@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import random
 import zlib
 from fractions import Fraction
@@ -168,7 +169,8 @@ def test_passages_by_an_index_that_is_opened_again(spark, tmp_path):
         history = batch if history is None else history.unionByName(batch)
     assert sorted((r.kind, r.tier) for r in index.runs) == [("run", 0), ("run", 2), ("windows", 0), ("windows", 2)]
     assert {r.doc_id: r.kept_sha256 for r in suffixarray.digested(source, marks).collect()} == removed(texts)
-    merged = index.merged(*[r for r in index.runs if r.kind == "run"])._jdf.queryExecution().executedPlan().toString()
+    with index.in_order():
+        merged = index.merged(*[r for r in index.runs if r.kind == "run"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in merged  # runs lie in buckets
     assert index.table(index.runs[0]).groupBy("key", "sub").count().where("count > 1").isEmpty()
 
@@ -280,6 +282,39 @@ def test_quality_on_held_out_labels(spark):
     assert rows.where("score is null or score < 0 or score > 1").isEmpty()
 
 
+def test_quality_against_a_plain_descent(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["uno", "dos", "TRES", "4", "!!", "x1"][: 3 + 3 * (i % 2)]) for _ in range(rng.randrange(1, 30))) for i in range(40)] + ["", None]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(40, 1), (99, 0), (None, 1), (31, None)], "doc_id long, quality int")
+    docs = documents(spark, texts)
+    found = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, labels, bits=10)).collect()}
+
+    def places(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        return quality.features(data, np.array([0, len(data)]), 10)[0].tolist()
+
+    z, n = {}, {}
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= quality.L1 else -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+    rows = [(i, i % 2) for i in range(30)] + [(40, 1)]
+    for epoch in range(quality.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            own = places(texts[rows[k][0]])
+            x = {p: quality.SCALE * own.count(p) / len(own) for p in own} | {"bias": 1.0}
+            w = {p: weight(p) for p in x}
+            error = 1 / (1 + math.exp(-sum(w[p] * x[p] for p in x))) - rows[k][1]
+            for p, v in x.items():
+                g, before = error * v, n.get(p, 0.0)
+                n[p] = before + g * g
+                z[p] = z.get(p, 0.0) + g - (math.sqrt(n[p]) - math.sqrt(before)) / quality.ALPHA * w[p]
+    for i, text in enumerate(texts):
+        own = places(text)
+        dot = weight("bias") + (quality.SCALE * sum(weight(p) for p in own) / len(own) if own else 0.0)
+        assert abs(found[i] - 1 / (1 + math.exp(-dot))) < 1e-4
+    none = quality.fit(docs, labels.where("false"))
+    assert {r.score for r in quality.score(docs, none).collect()} == {0.5} and quality.score(docs.where("false"), none).isEmpty()
+    assert quality.accepted(docs.where("false"), quality.fit(docs.where("false"), labels)).isEmpty()
+
+
 def test_search_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(2)
     vectors = rng.standard_normal((600, 16))
