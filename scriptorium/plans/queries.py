@@ -156,7 +156,27 @@ def longest_common_run(spark, d):
     return plagiarism.common_runs(found, refs(spark, d).select("ref_id", T.match_tokens(F.col("text")).alias("ref_tokens")))
 
 
-@query()
+_OTHER = r"[^\p{L}\p{N}_]+"
+
+
+@query(
+    f"""WITH {_FLAGGED}, fs AS (SELECT id, sent, item_id, sp.text AS own_text, text_start, {O.match_tokens('sp.text')} AS a, r.k AS b, bm.text AS ref_text FROM fl JOIN sp USING (id, sent) JOIN r USING (item_id) JOIN benchmark bm USING (item_id) WHERE share >= 0.55),
+ai AS (SELECT id, sent, CAST(generate_subscripts(a, 1) AS INTEGER) - 1 AS i, unnest(a) AS tok FROM fs), bi AS (SELECT id, sent, CAST(generate_subscripts(b, 1) AS INTEGER) - 1 AS j, unnest(b) AS tok FROM fs),
+mt AS (SELECT id, sent, i, j, i - j AS dg, i - row_number() OVER (PARTITION BY id, sent, i - j ORDER BY i) AS isl FROM ai JOIN bi USING (id, sent, tok)),
+rn AS (SELECT id, sent, count(*) AS length, max(i) AS li, max(j) AS lj FROM mt GROUP BY id, sent, dg, isl),
+best AS (SELECT id, sent, length AS n, li - length + 1 AS f, li AS l, lj - length + 1 AS rf, lj AS rl FROM rn QUALIFY row_number() OVER (PARTITION BY id, sent ORDER BY length DESC, li, lj) = 1),
+tx AS (SELECT 0 AS side, id AS k1, sent AS k2, own_text AS x FROM fs UNION ALL SELECT DISTINCT 1, item_id, 0, ref_text FROM fs),
+tp AS (SELECT side, k1, k2, generate_subscripts(x, 1) AS i, unnest(x) AS raw FROM (SELECT side, k1, k2, regexp_extract_all(x, '{O.TOKEN}|{_OTHER}') AS x FROM tx)),
+tq AS (SELECT *, coalesce(sum(length(raw)) OVER (PARTITION BY side, k1, k2 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM tp),
+ts AS (SELECT side, k1, k2, row_number() OVER (PARTITION BY side, k1, k2 ORDER BY i) - 1 AS t, pos AS s, pos + length(raw) AS e FROM tq WHERE regexp_matches(raw, '^{O.TOKEN}')),
+sz AS (SELECT side, k1, k2, count(*) AS c FROM ts GROUP BY ALL),
+fd AS (SELECT fs.*, n, p.s AS s, q.e AS e, u.s AS us, v.e AS ve FROM fs JOIN best USING (id, sent)
+  JOIN ts p ON p.side = 0 AND p.k1 = id AND p.k2 = sent AND p.t = f JOIN ts q ON q.side = 0 AND q.k1 = id AND q.k2 = sent AND q.t = l JOIN ts u ON u.side = 1 AND u.k1 = item_id AND u.t = rf JOIN ts v ON v.side = 1 AND v.k1 = item_id AND v.t = rl
+  JOIN sz x ON x.side = 0 AND x.k1 = id AND x.k2 = sent AND x.c = len(a) JOIN sz y ON y.side = 1 AND y.k1 = item_id AND y.c = len(b) WHERE n >= 3),
+fr AS (SELECT *, substring(ref_text, CAST(us + 1 AS INTEGER), CAST(ve - us AS INTEGER)) AS frag FROM fd)
+SELECT id, sent, item_id AS ref_id, CAST(text_start + s AS INTEGER) AS copy_start, CAST(text_start + e AS INTEGER) AS copy_end, substring(own_text, CAST(s + 1 AS INTEGER), CAST(e - s AS INTEGER)) AS copy_text, CAST(n AS INTEGER) AS matched_words,
+  CASE WHEN length(frag) > 240 THEN regexp_replace(substring(frag, 1, 240), '{O.WS}+$', '') || '…' ELSE frag END AS source_fragment FROM fr"""
+)
 def copied_spans(spark, d):
     base = refs(spark, d)
     return plagiarism.located(plagiarism.flagged_sentences(docs(spark, d), base), base)
