@@ -71,3 +71,22 @@ def test_pipeline_agrees_with_plain_stages(spark):
     assert ids == {i: library.encode_ordinary(t) for i, t in found.items()}
     uncut = [i for i in clean if clean[i] == WORD.findall(texts[i])]
     assert all(found[i] == texts[i] for i in uncut)
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    long = " ".join(f"w{i % 977}" for i in range(3000))
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "uno"), (4, "uno"), (5, "DOS tres"), (6, long), (7, long), (None, long)]
+    docs = spark.createDataFrame([(i, t, "es", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([("a", "UNO"), ("b", None), (None, "")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, df=docs: stages[name](spark, df, str(tmp_path))
+    kept = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert run("quality classifier").columns == docs.columns and run("quality classifier").isEmpty()
+    assert kept(run("n-gram Jaccard join")) == sorted([r for r in rows if r[0] != 7], key=str)
+    cut = {r.doc_id: (r.text, r.n_chars) for r in run("suffix-array dedup").collect()}
+    assert (cut[6], cut[7], cut[None], cut[4]) == ((long, len(long)), ("", 0), ("", 0), ("uno", 3)) and len(cut) == 8
+    assert kept(run("benchmark decontamination")) == sorted([r for r in rows if r[0] != 4], key=str)
+    found = {r.doc_id: r.n_tokens for r in run("byte-level BPE encoding and decoding").collect()}
+    assert found[1] == found[2] == 0 and found[4] > 0 and len(found) == 8
+    assert all(run(name, docs.where("false")).isEmpty() for name in stages)
