@@ -23,7 +23,9 @@ the least of them, their hub, and the exact difference from it is computed.
 What this leaves are pairs of one hub that are not linked through it.  Of two
 such sets x and y with differences Dx and Dy from the hub, x and y differ in
 ``|Dx| + |Dy| - 2 |Dx & Dy|``, so linked ones share elements of Dx and Dy: they
-meet on a prefix of those, new elements first, which is short.  Each set brings a
+meet on a prefix of those, new elements first and of these the common ones last,
+which is short.  Which are common is counted on a sample of sets; it is no more than
+an order, any of which gives the same links.  Each set brings a
 parity bitmap of ``BITS`` bits along: two sets differ in at least as many elements
 as their bitmaps do in bits, so of those that meet only pairs within reach by their
 numbers, places and bitmaps are compared exactly.  Where that leaves more than
@@ -64,6 +66,12 @@ SHINGLE = 5
 SIMILARITY = Fraction(4, 5)
 #: Sets at one meeting place beyond which it gets a hub; pairs for each set beyond which a place is dense.
 MEETING, DENSE = 2048, 64
+#: A place is held whole up to so many times ``MEETING``: it gets a hub only if its pairs are too many, as most are of one label.
+HELD = 16
+#: Pairs of a place that are compared at a time.
+AT_ONCE = 1 << 16
+#: One of so many sets is counted for the order of shingles, and so many of the most common ones are told from the others.
+COUNTED, MOST_COMMON = 32, 1 << 16
 #: Places of up to so many sets are handled many at a time.
 SMALL = 12
 #: What a row of ``met`` says: compare the two, take the first for a hub of the second, let the hub's sets meet again.
@@ -312,7 +320,32 @@ def hub_pairs(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "y").mapInArrow(run, "hub bigint, x bigint").distinct()
 
 
-def compared(sets: DataFrame, pairs: DataFrame, shingle: int, t: Fraction) -> DataFrame:
+def common_shingles(sets: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the shingles that most sets of the sample have, sorted, and in how many."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, _, hashed, _ in _text_rows(batch, shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64))], ["h"])
+
+    sample = sets.where(F.pmod(F.xxhash64("_k"), F.lit(COUNTED)) == 0).select("_k", F.lit(0).alias("_"), "_text")
+    counts = sample.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    found = counts.orderBy(F.desc("c"), "h").limit(MOST_COMMON).toArrow()
+    hashed = found.column("h").to_numpy().astype(np.int64).view(_U)
+    order = np.argsort(hashed)
+    return hashed[order], found.column("c").to_numpy().astype(np.int64)[order]
+
+
+def _common_last(hashed: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sorted shingles in the order in which sets meet on them."""
+    known, counts = common
+    if not len(known) or not len(hashed):
+        return hashed
+    place = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
+    return hashed[np.argsort(np.where(known[place] == hashed, counts[place], 0), kind="stable")]
+
+
+def compared(sets: DataFrame, pairs: DataFrame, shingle: int, t: Fraction, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(hub, x, n, apart, linked, prefix, bits) for each pair: x's size, how many elements differ, and the first of those, new ones in x first; x's bitmap."""
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_PART).alias("parts")).where("parts > 1")
     dealt = pairs.join(few(parts), "hub", "left").select("hub", F.pmod(F.xxhash64("x"), F.coalesce("parts", F.lit(1))).alias("part"), F.lit(1).alias("role"), "x")
@@ -336,14 +369,14 @@ def compared(sets: DataFrame, pairs: DataFrame, shingle: int, t: Fraction) -> Da
                         continue
                     assert key == (hub[i], part[i]), "a hub's text is missing"
                     place = np.minimum(np.searchsorted(own, mine), max(0, len(own) - 1))
-                    common = own[place] == mine if len(own) else np.zeros(len(mine), dtype=bool)
+                    both = own[place] == mine if len(own) else np.zeros(len(mine), dtype=bool)
                     kept = np.ones(len(own), dtype=bool)
-                    kept[place[common]] = False
-                    shared = int(common.sum())
+                    kept[place[both]] = False
+                    shared = int(both.sum())
                     apart = len(mine) + len(own) - 2 * shared
                     linked = den * shared >= num * (len(mine) + len(own) - shared)
                     least = _prefix(len(mine), apart, linked, t)
-                    for values, value in zip(out.values(), (hub[i], x[i], len(mine), apart, linked, np.concatenate([mine[~common][:least], own[kept]])[:least].view(np.int64), bits[i - lo].tobytes()), strict=True):
+                    for values, value in zip(out.values(), (hub[i], x[i], len(mine), apart, linked, np.concatenate([_common_last(mine[~both], common)[:least], own[kept]])[:least].view(np.int64), bits[i - lo].tobytes()), strict=True):
                         values.append(value)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), types, strict=True)], list(out))
@@ -412,14 +445,24 @@ class Meeting:
         near = differ <= most[able]
         return able[near], differ[near]
 
+    def fewer(self, lo: int, hi: int) -> np.ndarray:
+        """Which of the rows ``lo`` to ``hi`` are in every pair that matters: those without the most usual label, or those not linked with the hub."""
+        _, which, counts = np.unique(self.label[lo:hi], return_inverse=True, return_counts=True)
+        other, unlinked = which != np.argmax(counts), ~self.linked[lo:hi]
+        return other if other.sum() < unlinked.sum() else unlinked
+
     def of_one_place(self, lo: int, hi: int, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of the rows ``lo`` to ``hi``, and their distances."""
         found, far = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        linked = self.linked[lo:hi]
-        for i in np.flatnonzero(~linked):
-            j = np.flatnonzero(linked | (np.arange(hi - lo) > i))
-            near, differ = self.within_reach(np.full(len(j), lo + i), lo + j, t)
-            found.append(np.stack([np.full(len(near), lo + i), lo + j[near]], axis=1))
+        one, every = self.fewer(lo, hi), np.arange(hi - lo)
+        rows, step = np.flatnonzero(one), max(1, AT_ONCE // (hi - lo))
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
+            i, j = np.repeat(part, hi - lo), np.tile(every, len(part))
+            once = ~one[j] | (j > i)
+            i, j = lo + i[once], lo + j[once]
+            near, differ = self.within_reach(i, j, t)
+            found.append(np.stack([i[near], j[near]], axis=1))
             far.append(differ)
         return np.concatenate(found), np.concatenate(far)
 
@@ -446,9 +489,14 @@ def met(members: DataFrame, t: Fraction, meeting: int, again: bool) -> DataFrame
 
     dense = DENSE
 
+    def crowded(x: np.ndarray, lo: int, hi: int, least: int) -> np.ndarray:
+        return np.stack([np.full(hi - lo, least), x[lo:hi]], axis=1)
+
     def place(x: np.ndarray, hub: int, sets: Meeting, lo: int, hi: int) -> list[tuple[np.ndarray, int]]:
         if (sets.label[lo:hi] == sets.label[lo]).all():
             return []
+        if hi - lo > meeting and sets.fewer(lo, hi).sum() * (hi - lo) > meeting * meeting:
+            return [(crowded(x, lo, hi, x[lo]), HUB)]
         pairs, far = sets.of_one_place(lo, hi, t)
         if len(pairs) <= dense * (hi - lo):
             return [(x[pairs], NEAR)]
@@ -462,9 +510,6 @@ def met(members: DataFrame, t: Fraction, meeting: int, again: bool) -> DataFrame
         held: list[np.ndarray] | None = None
         crowd: tuple[int, int, int] | None = None  # the place that is being crowded, and the least there
 
-        def crowded(c: list[np.ndarray], lo: int, hi: int, least: int) -> np.ndarray:
-            return np.stack([np.full(hi - lo, least), c[2][lo:hi]], axis=1)
-
         def taken(c: list[np.ndarray], last: bool):
             """Pairs of whole places, and the rows of the last one if it may go on."""
             nonlocal crowd
@@ -484,10 +529,10 @@ def met(members: DataFrame, t: Fraction, meeting: int, again: bool) -> DataFrame
                 lo, hi = starts[r], starts[r + 1]
                 key = (c[0][lo], c[1][lo])
                 if crowd and crowd[:2] == key:
-                    kinds[HUB].append(crowded(c, lo, hi, crowd[2]))
-                elif hi - lo > meeting:
+                    kinds[HUB].append(crowded(c[2], lo, hi, crowd[2]))
+                elif hi - lo > meeting * HELD:
                     crowd = (*key, c[2][lo])
-                    kinds[HUB].append(crowded(c, lo, hi, crowd[2]))
+                    kinds[HUB].append(crowded(c[2], lo, hi, crowd[2]))
                 elif r == len(sizes) - 1 and not last:
                     rest = [v[lo:hi] for v in c]
                 else:
@@ -541,6 +586,7 @@ def linked_groups(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
     sets = sets.select("_k", "_text")
     lacking = {r[0]: r[1] for r in printed.where("lacks >= 0").groupBy(F.floor(F.col("lacks") / 4)).agg(F.max(F.col("lacks") % 4)).collect()}  # bands: some hundred at most
 
+    common = common_shingles(sets, shingle)
     links = []
     if repeated_ids:
         of_id = known.join(few(several), "_d", "left_semi").select("_d", *classed).join(classes.select(*classed, "_k"), classed)
@@ -549,7 +595,7 @@ def linked_groups(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
     known_members: DataFrame | None = None
     n = 0
     while True:
-        members = keep(compared(sets, pairs, shingle, t), f"members-{n}")
+        members = keep(compared(sets, pairs, shingle, t, common), f"members-{n}")
         links.append(members.where("linked").select(F.col("hub").alias("a"), F.col("x").alias("b")))
         held = members if known_members is None else members.unionByName(known_members.join(few(pairs.select("hub").distinct()), "hub", "left_semi"))
         known_members = members if known_members is None else known_members.unionByName(members)
@@ -565,7 +611,7 @@ def linked_groups(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
             said = {r[0] for r in found.select("kind").distinct().collect()}
             if NEAR in said:
                 near = found.where(F.col("kind") == NEAR).select(F.col("a").alias("hub"), F.col("b").alias("x"))
-                links.append(keep(compared(sets, near, shingle, t).where("linked").select(F.col("hub").alias("a"), F.col("x").alias("b")), f"near-{n}-{int(again)}"))
+                links.append(keep(compared(sets, near, shingle, t, common).where("linked").select(F.col("hub").alias("a"), F.col("x").alias("b")), f"near-{n}-{int(again)}"))
             if HUB in said:
                 further.append(found.where(F.col("kind") == HUB).select(F.col("a").alias("hub"), F.col("b").alias("x")).where("hub <> x"))
             if AGAIN not in said:

@@ -100,6 +100,19 @@ def test_jaccard_components(spark, monkeypatch, n, t, meeting, dense, of):
     assert {r._d: (r.n, r.component) for r in found} == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
+def test_a_large_place_of_one_label_gets_no_hub(spark):
+    rows = [(0, x, 100, 20, x < 40, 1 if x < 40 else 40, [7], bytes(jaccard.BITS // 8)) for x in range(1, 41)]
+    members = spark.createDataFrame(rows, "hub long, x long, n long, apart long, linked boolean, label long, prefix array<long>, bits binary")
+    found = jaccard.met(members, Fraction(4, 5), 8, False).collect()
+    assert {(*sorted((r.a, r.b)), r.kind) for r in found} == {(x, 40, jaccard.NEAR) for x in range(1, 40)}
+
+
+def test_jaccard_with_common_shingles_last(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COUNTED", 1)
+    test_jaccard_components(spark, monkeypatch, 5, Fraction(4, 5), 60, 0, chains)
+    assert list(jaccard._common_last(np.arange(5, dtype=np.uint64), (np.array([1, 3], dtype=np.uint64), np.array([9, 4])))) == [0, 2, 4, 3, 1]
+
+
 @pytest.mark.parametrize("first", [None, "text"])
 def test_jaccard_of_ids_with_an_empty_row(spark, first):
     rng = random.Random(7)
