@@ -211,3 +211,24 @@ def test_history_and_training_files(spark, tmp_path):
     (tmp_path / "referencias").mkdir()
     (tmp_path / "referencias" / "libro.txt").write_text("texto")
     assert [tuple(r) for r in documents.reference_folders(spark, str(tmp_path)).collect()] == [("libro.txt", "texto")]
+
+
+def test_only_some_features(spark):
+    docs = spark.createDataFrame([(1, "Además, hoy llueve. Sin embargo, salimos — creo — a la calle.\n\nEs fundamental, generalmente."), (2, ""), (3, None)], "id int, text string")
+    whole = {r.id: r.f.asDict() for r in featurize(docs).collect()}
+    some = {r.id: r.f.asDict() for r in featurize(docs, only=signals.USED).collect()}
+    assert some == {k: {x: v for x, v in f.items() if x in signals.USED} for k, f in whole.items()}
+    plan = featurize(docs, only=["avg_sentence_len"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" not in plan and "log2" not in plan.lower()
+
+
+def test_openers_look_at_a_text_once(spark):
+    texts = ["Además, sí", "  ADEMAS no", "Ademáséñ no", "en resumen", "En resúmenes", "", " Por ello.", "por ellos"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.starts_with_opener(F.col("t")).alias("o"))
+    assert [r.o for r in sorted(rows.collect())] == [True, True, False, True, False, False, True, False]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("translate(") == 1
+
+
+def test_gathered_rows_are_the_same(spark):
+    scores = spark.createDataFrame([(1, 0, 5, 0.5), (1, 1, 6, None), (2, 0, 7, 0.1)], "id int, sent int, words int, score double")
+    assert sorted(localize.gathered(scores).collect()) == sorted(scores.collect()) and localize.gathered(scores).columns == scores.columns
