@@ -232,3 +232,19 @@ def test_openers_look_at_a_text_once(spark):
 def test_gathered_rows_are_the_same(spark):
     scores = spark.createDataFrame([(1, 0, 5, 0.5), (1, 1, 6, None), (2, 0, 7, 0.1)], "id int, sent int, words int, score double")
     assert sorted(localize.gathered(scores).collect()) == sorted(scores.collect()) and localize.gathered(scores).columns == scores.columns
+
+
+def test_few_pieces_are_dealt_out(spark):
+    from scriptorium.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(100).coalesce(cores)
+    assert spread(rows).rdd.getNumPartitions() == cores and spread(rows, 4).rdd.getNumPartitions() == 4 * cores
+
+
+def test_analyze_scores_sentences_once(spark):
+    texts = spark.createDataFrame([(1, "Uno dos tres. Cuatro cinco seis.")], "id int, text string")
+    scores = localize.gathered(localize.sentence_scores(engine.normalized(texts)))
+    both = localize.mixture(scores).join(localize.regions(scores), "id", "outer")
+    both.collect()
+    assert "ReusedExchange" in both._jdf.queryExecution().executedPlan().toString()
