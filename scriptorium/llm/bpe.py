@@ -27,14 +27,13 @@ from __future__ import annotations
 
 import base64
 import struct
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.runtime import tuned, type_of
+from scriptorium.llm.runtime import kept, tuned, type_of
 from scriptorium.session import spread
 
 #: About what a worker's transitions, and its pairs and parts of tokens, may take, and each of two generations of pieces.
@@ -316,17 +315,23 @@ class StreamDecoder:
         return out
 
 
-@cache
+def _made(file: str, pattern: str) -> Encoder:
+    return Encoder(read_ranks(file), pattern)
+
+
 def _encoder(file: str, pattern: str) -> Encoder:
     """What one worker keeps for encoding."""
-    return Encoder(read_ranks(file), pattern)
+    return kept(_made, file, pattern)
 
 
-@cache
-def _tokens(file: str) -> dict[int, bytes]:
+def _by_rank(file: str) -> dict[int, bytes]:
     return {rank: token for token, rank in read_ranks(file).items()}
 
 
+def _tokens(file: str) -> dict[int, bytes]:
+    return kept(_by_rank, file)
+
+
 def _encoded(texts: pa.Array, file: str, pattern: str) -> list[bytes]:
     encode = _encoder(file, pattern).text
     return [encode(text) if text else b"" for text in texts.to_pylist()]

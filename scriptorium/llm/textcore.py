@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from scriptorium.llm.runtime import released
+
 #: Bytes of text handled at once; the working arrays take about 40 times as much.
 SLICE_BYTES = 1 << 18
 
@@ -151,6 +153,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
     A null text counts as empty.
     """
+    released()  # no operator that keeps something in a worker reads its texts here
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:

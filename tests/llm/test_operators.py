@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import random
+import weakref
 import zlib
 from fractions import Fraction
 
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scriptorium.llm import ann, bpe, chat, decontaminate, fingerprints, jaccard, passages, quality, registry, suffixarray, tokenfile, urlfilter
+from scriptorium.llm import ann, bpe, chat, decontaminate, fingerprints, jaccard, passages, quality, registry, suffixarray, textcore, tokenfile, urlfilter
 from scriptorium.llm.eliasfano import EliasFano
 from scriptorium.llm.runtime import Scratch
 from tests.helpers import DATA, agree
@@ -252,6 +253,13 @@ def test_one_document_of_the_token_files(spark, monkeypatch):
         assert sorted(tuple(r) for r in files.document(i).collect()) == [r for r in whole if r[0] == i]
 
 
+def test_a_worker_gives_back_its_encoder_when_texts_are_read_by_another_operator():
+    file, pattern = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    held = weakref.ref(bpe._encoder(file, pattern))
+    assert bpe._encoder(file, pattern) is held()
+    assert [(lo, hi) for lo, hi, _, _ in textcore.slices(pa.array(["uno", None]))] == [(0, 2)] and held() is None
+
+
 def test_ids_of_another_text_are_an_error():
     coder = bpe._encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).transducer
     packed = [np.array(coder.encode(t.encode()), "<u4").tobytes() for t in ("año", "", "")]
