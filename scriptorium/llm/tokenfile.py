@@ -36,7 +36,6 @@ import json
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +43,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.eliasfano import EliasFano
-from scriptorium.llm.runtime import Scratch, tuned
+from scriptorium.llm.runtime import Scratch, kept, released, tuned
 from scriptorium.session import spread
 
 END_ID = 2
-BLOCK_IDS = 1 << 20
+#: A quarter of a megabyte at 16 bits an id.
+BLOCK_IDS = 1 << 17
 #: About what each of two generations of words, and of parts of words, may take in a worker.
 KEPT_BYTES = 64 << 20
 #: Bytes of text that a shard is made for.
@@ -150,10 +150,13 @@ class TextIds:
         return b"".join(map(self.word.__getitem__, text.split(" ")))
 
 
-@cache
+def _made(file: str, wide: bool, specials_as_text: bool) -> TextIds:
+    return TextIds(file, np.dtype("<u4" if wide else "<u2"), specials_as_text)
+
+
 def _worker(file: str, wide: bool, specials_as_text: bool) -> TextIds:
     """What one worker keeps."""
-    return TextIds(file, np.dtype("<u4" if wide else "<u2"), specials_as_text)
+    return kept(_made, file, wide, specials_as_text)
 
 
 def _id_type(vocabulary: int) -> np.dtype:
@@ -190,6 +193,7 @@ def _pack(width: int):
     """Rows in order of (shard, id, tie, ids) to blocks."""
 
     def run(batches):
+        released()
         shard, block, before = None, 0, 0
         held: list[tuple[int | None, bytes]] = []
         size = 0
@@ -246,6 +250,7 @@ class TokenFiles:
         starts = self.shard_starts()
 
         def read(batches):
+            released()
             for batch in batches:
                 for row in batch.to_pylist():
                     coded = EliasFano.from_bytes(row["bounds"])
@@ -270,6 +275,7 @@ class TokenFiles:
         starts = self.shard_starts()
 
         def read(batches):
+            released()
             for batch in batches:
                 for row in batch.to_pylist():
                     known = np.frombuffer(row["doc_ids"], "<i8")

@@ -260,6 +260,13 @@ def test_a_worker_gives_back_its_encoder_when_texts_are_read_by_another_operator
     assert [(lo, hi) for lo, hi, _, _ in textcore.slices(pa.array(["uno", None]))] == [(0, 2)] and held() is None
 
 
+def test_a_worker_gives_back_its_tokenizer_when_it_packs():
+    file = P.path("word_bpe_49k.json")
+    held = weakref.ref(tokenfile._worker(file, False, False))
+    assert tokenfile._worker(file, False, False) is held()
+    assert list(tokenfile._pack(2)(iter([]))) == [] and held() is None
+
+
 def test_ids_of_another_text_are_an_error():
     coder = bpe._encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).transducer
     packed = [np.array(coder.encode(t.encode()), "<u4").tobytes() for t in ("año", "", "")]
