@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as T
 from scriptorium.operators import evaluation, learning, localize, plagiarism, segments, signals, verdict
 from scriptorium.operators.features import FEATURE_ORDER, featurize
-from scriptorium.plans import engine
+from scriptorium.plans import engine, queries
 from scriptorium.sources import documents, store
+from tests.helpers import agree
 
 EDGE = ["", "   ", "una", "¡Hola! ¿Qué tal?... bien.", "uno\r\ndos\rtres\n\ncuatro", "A—B “c” … 3.5 ½ 😀 straße", "- uno\n- dos\n\n1. tres\n\na) x", "sin punto " * 800, "Además, cabe destacar que en general suele ser así. " * 5]
 
@@ -167,6 +168,18 @@ def test_batch_against_a_corpus(spark):
         engine.batch(files, most_files=2)
 
 
+def test_cross_matches_meet_shared_shingles_once(spark, tmp_path):
+    line = " ".join(f"palabra{i}" for i in range(24))
+    rows = [(i, f"{line} propio{i} texto{i % 7} otro{i % 3} mas{i % 5} fin{i % 2}") for i in range(40)]
+    rows += [(50, line), (51, "uno dos"), (52, "Uno, dos"), (53, "uno dos"), (54, None), (54, ""), (None, line), (7, f"{line} otra fila del mismo id"), (60, f"{line} " * 9)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/written")
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "documents.parquet")
+    agree(spark, queries.QUERIES["batch_cross_match"], queries.ORACLES["batch_cross_match"], str(tmp_path))
+    texts = spark.createDataFrame(rows[:41], "ref_id long, text string").withColumn("peer", F.lit(True))
+    lists = {len(r.met): r.w for r in plagiarism.shared_lists(texts).collect()}
+    assert lists[41] == 20  # the line's shingles, met once
+
+
 def test_copy_evidence_names_its_source(spark):
     copied = "uno dos tres cuatro cinco seis siete ocho nueve diez once doce"
     texts = documents.inline(spark, [(1, f"Texto propio al principio del documento. {copied.capitalize()}.")])
