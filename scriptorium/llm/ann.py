@@ -1,20 +1,21 @@
-"""Approximate nearest neighbours by inner product: adaptive dimension scan in probed lists.
-
-Vectors are put in lists by their nearest of some centroids, and rotated at
-random, so that any few of the rotated dimensions tell something of the whole
-product.  A query scans the lists whose centroids are nearest: their vectors lie
-in column blocks, the products over the first block come from one matrix
-multiplication, and a candidate is abandoned as soon as a test says that its
-product can hardly reach the best ones so far: what the other dimensions still
-add is about normal, with a deviation of the lengths of both rests over the
-root of the number of dimensions left, and ``EPSILON`` deviations are granted.
-
-Equal vectors are one candidate with their ``k + 1`` smallest ids, which are all
-that a result can name of them, and equal queries are searched once, so a very
-frequent vector costs no more than others.  Lists are split in parts of at most
-about ``PART`` vectors, and queries in blocks of about ``BLOCK``, so no task holds more
-than a part and a block; vectors are sent once for each block of queries.  Centroids are fitted on at most ``SAMPLE`` vectors (a documented bound);
-every vector is indexed.  What is broadcast is the centroids and the rotation.
+"""Nearest neighbours by inner product: adaptive dimension scan in lists, with bounds that are sure.
+
+Vectors are put in lists by their nearest of some centroids, and turned to the
+axes of the most weight, so that the first columns tell most of a product.  A
+query passes over the lists that cannot reach its ``k`` best so far (centroid's
+product and the query's length times the list's radius), and scans the others
+in blocks of columns: a candidate is abandoned as soon as its product and the
+lengths of both rests cannot reach them either.  Bounds grant ``ERROR`` of both
+lengths for rounding, so nothing that belongs in a result is lost: the scan is
+exact whatever the vectors are.  Where bounds say little (vectors of one length
+without clusters) the work is that of all products.
+
+Equal vectors are one candidate with their smallest ids, as many as a result
+can name of them, and equal queries are searched once, so a very
+frequent vector costs no more than others.  Vectors lie in parts of about ``HELD`` bytes,
+list by list, and queries in blocks of as many; each block meets each part, so no task holds more
+than a part and a block.  Centroids and axes are fitted on at most ``SAMPLE`` vectors (a documented bound);
+every vector is indexed.  What is broadcast is the centroids.
 
 Defined results: vectors that are null, zero, of another length than most, or
 that hold null or non-finite components take no part, nor do those without id;
@@ -37,15 +38,16 @@ from scriptorium.llm.runtime import Scratch
 K = 20
 SAMPLE = 20_000
 MAX_LISTS = 1024
-#: Share of the lists that a query scans (vectors without clusters need as many), and the least number.
-PROBED = 0.6
-LEAST_PROBED = 32
-PART = 8192
-BLOCK = 8192
-#: Queries whose products with a part's first columns are made at once.
+#: Bytes of the vectors of a part, and of a block of queries; a small table is dealt over the cores in parts of ``LEAST_PART`` vectors and more.
+HELD = 16 << 20
+LEAST_PART = 1024
+#: Queries and vectors whose products are made at once.
 AT_ONCE = 256
+GROUP = 1024
 COLUMNS = 16
-EPSILON = 3.0
+#: Share of pairs left from which on they are looked at one by one.
+SPARSE = 0.1
+ERROR = 1e-9
 
 
 def usable(vector: Column) -> Column:
@@ -53,10 +55,10 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0)
 
 
-def rotation(dim: int, seed: int = 7) -> np.ndarray:
-    """A random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+def axes(sample: np.ndarray) -> np.ndarray:
+    """An orthogonal matrix that turns the sample's axes of the most weight to the first columns."""
+    scaled = sample / np.abs(sample).max()
+    return np.linalg.eigh(scaled.T @ scaled)[1][:, ::-1]
 
 
 def fit_centroids(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -64,7 +66,7 @@ def fit_centroids(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 7) ->
     rng = np.random.default_rng(seed)
     centroids = sample[rng.permutation(len(sample))[:n]].copy()
     for _ in range(rounds):
-        near = nearest(sample, centroids, 1)[:, 0]
+        near = nearest(sample, centroids)
         sums = np.zeros_like(centroids)
         np.add.at(sums, near, sample)
         counts = np.bincount(near, minlength=len(centroids))
@@ -72,45 +74,81 @@ def fit_centroids(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 7) ->
     return centroids
 
 
-def nearest(rows: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` nearest centroids of each row, nearest first."""
-    far = (centroids**2).sum(axis=1) - 2 * rows @ centroids.T
-    if n == 1:
-        return far.argmin(axis=1)[:, None]
-    part = np.argpartition(far, min(n, far.shape[1]) - 1, axis=1)[:, :n]
-    return np.take_along_axis(part, np.argsort(np.take_along_axis(far, part, axis=1), axis=1, kind="stable"), axis=1)
+def nearest(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row."""
+    return ((centroids**2).sum(axis=1) - 2 * rows @ centroids.T).argmin(axis=1)
 
 
-def adaptive_scan(queries: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the places and products of its ``k`` best rows, as far as the tests keep them."""
-    dim = rows.shape[1]
-    edges = [*range(COLUMNS, dim, COLUMNS), dim]
-    rest = [np.sqrt(np.maximum(0, (rows[:, e:] ** 2).sum(axis=1))) for e in edges]
-    rest_q = [np.sqrt(np.maximum(0, (queries[:, e:] ** 2).sum(axis=1))) for e in edges]
+def _lengths(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt((rows**2).sum(axis=1))
+
+
+def adaptive_scan(queries: np.ndarray, rows: np.ndarray, lists: np.ndarray, ids: np.ndarray, centroids: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, product) of the ``k`` best rows of each query, ties to the smaller of ``ids``; ``rows`` lie list by list."""
+    n, dim = rows.shape
+    edges = [*range(min(COLUMNS, dim), dim, COLUMNS), dim]
+    turned_q, turned = queries @ turn, rows @ turn
+    long_q, long = _lengths(queries), _lengths(rows)
+    # lengths of what is left after each block, and of the whole for rounding: their products are what a pair may still gain
+    rest_q = [np.stack([_lengths(turned_q[:, e:]), ERROR * long_q], axis=1) for e in edges]
+    rest = [np.stack([_lengths(turned[:, e:]), long]) for e in edges]
+    plain_q, plain = np.ascontiguousarray(queries.T), np.ascontiguousarray(rows.T)
+    groups = np.arange(0, n, GROUP)
+    cuts = np.union1d(groups, np.flatnonzero(np.diff(lists)) + 1)
+    of = centroids[lists[cuts]]
+    radius = np.maximum.reduceat(_lengths(rows - centroids[lists]), cuts)
+    radius = radius + ERROR * (radius + _lengths(of))
+    first = np.searchsorted(cuts, groups)
     out = []
-    for i, q in enumerate(queries):
-        if i % AT_ONCE == 0:
-            first = queries[i : i + AT_ONCE, : edges[0]] @ rows[:, : edges[0]].T
-        part = first[i % AT_ONCE]
-        if len(part) > k:
-            seeds = np.argpartition(-part, k - 1)[:k]
-            bar = (rows[seeds] @ q).min()
-            slack = EPSILON * rest_q[0][i] / math.sqrt(max(1, dim - edges[0]))
-            alive = np.flatnonzero(part + slack * rest[0] >= bar - 1e-9)
-        else:
-            bar, alive = -math.inf, np.arange(len(part))
-        product = part[alive]
-        for b in range(1, len(edges)):
-            lo, hi = edges[b - 1], edges[b]
-            product = product + rows[alive, lo:hi] @ q[lo:hi]
-            if hi < dim:
-                keep = product + EPSILON * rest_q[b][i] / math.sqrt(dim - hi) * rest[b][alive] >= bar - 1e-9
-                alive, product = alive[keep], product[keep]
-        if len(product) > k:
-            best = np.argpartition(-product, k - 1)[:k]
-            alive, product = alive[best], product[best]
-        out.append((alive, product))
-    return out
+    for start in range(0, len(queries), AT_ONCE):
+        here = slice(start, start + AT_ONCE)
+        reach = np.maximum.reduceat(queries[here] @ of.T + long_q[here, None] * radius, first, axis=1)
+        bar = np.full(len(reach), -math.inf)
+        by, at, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for g in np.argsort(-reach.mean(axis=0)):
+            asks = np.flatnonzero(~(reach[:, g] < bar))
+            if not len(asks):
+                continue
+            lo, hi = groups[g], min(groups[g] + GROUP, n)
+            i, j = _reaching(turned_q[start + asks], turned[lo:hi], [r[start + asks] for r in rest_q], [r[:, lo:hi] for r in rest], edges, bar[asks], k)
+            if not len(i):
+                continue
+            i, j = asks[i], j + lo
+            product = np.zeros(len(i))
+            for own, its in zip(plain_q, plain):
+                product += own[start + i] * its[j]
+            by, at, score = np.concatenate([by, i]), np.concatenate([at, j]), np.concatenate([score, product])
+            order = np.lexsort((ids[at], -score, by))
+            by, at, score = by[order], at[order], score[order]
+            rank = np.arange(len(by)) - np.searchsorted(by, by)
+            bar[by[rank == k - 1]] = score[rank == k - 1]
+            by, at, score = by[rank < k], at[rank < k], score[rank < k]
+        out.append((by + start, at, score))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _reaching(queries: np.ndarray, rows: np.ndarray, rest_q: list[np.ndarray], rest: list[np.ndarray], edges: list[int], bar: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of all pairs that may be among the ``k`` best of a query whose ``k``-th product is ``bar`` so far."""
+    product = queries[:, : edges[0]] @ rows[:, : edges[0]].T
+    alive = ~(product + rest_q[0] @ rest[0] < bar[:, None])
+    for b in range(1, len(edges)):
+        cols = slice(edges[b - 1], edges[b])
+        if alive.mean() < SPARSE:
+            i, j = np.nonzero(alive)
+            product = product[i, j]
+            for c in range(b, len(edges)):
+                cols = slice(edges[c - 1], edges[c])
+                product = product + np.einsum("ij,ij->i", queries[i, cols], rows[j, cols])
+                keep = ~(product + np.einsum("ij,ji->i", rest_q[c][i], rest[c][:, j]) < bar[i])
+                i, j, product = i[keep], j[keep], product[keep]
+            return i, j
+        product += queries[:, cols] @ rows[:, cols].T
+        alive &= ~(product + rest_q[b] @ rest[b] < bar[:, None])
+    if len(rows) > k:
+        slack = rest_q[-1] @ rest[-1]
+        least = np.partition(product - slack, len(rows) - k, axis=1)[:, len(rows) - k]
+        alive &= ~(product + slack < least[:, None])
+    return np.nonzero(alive)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -119,26 +157,22 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _listed(rows: DataFrame, key: str, centroids: np.ndarray, turn: np.ndarray, n: int) -> DataFrame:
-    """(list, key, turned) for each of the ``n`` lists of a row."""
-    sent = rows.sparkSession.sparkContext.broadcast((centroids, turn))
+def _listed(index: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """(list, key, first, vec): the list of each row, its least id and its vector's bytes."""
+    sent = index.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches):
-        centroids, turn = sent.value
         for batch in batches:
             if batch.num_rows:
-                vectors = _matrix(batch.column(1), len(turn))
-                lists = nearest(vectors, centroids, n)
-                turned = (vectors @ turn).astype("<f8")
-                packed = pa.array([x.tobytes() for x in turned], pa.binary())
-                at = np.repeat(np.arange(len(vectors)), lists.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel().astype(np.int32)), batch.column(0).take(pa.array(at)), packed.take(pa.array(at))], ["list", key, "turned"])
+                vectors = _matrix(batch.column(2), sent.value.shape[1])
+                packed = pa.array([x.tobytes() for x in vectors.astype("<f8")], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(nearest(vectors, sent.value).astype(np.int32)), batch.column(0), batch.column(1), packed], ["list", "key", "first", "vec"])
 
-    return rows.select(key, "vec").mapInArrow(run, f"list int, {key} bigint, turned binary")
+    return index.select("key", F.get("ids", F.lit(0)).alias("first"), "vec").mapInArrow(run, "list int, key bigint, first bigint, vec binary")
 
 
-def search(vectors: DataFrame, scratch: Scratch, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, probed: float = PROBED, sample: int = SAMPLE) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of each query; score is the inner product in double precision."""
+def search(vectors: DataFrame, scratch: Scratch, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, sample: int = SAMPLE) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest of each query; score is the inner product in double precision."""
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("asks"))
     sizes = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -146,8 +180,10 @@ def search(vectors: DataFrame, scratch: Scratch, is_query: Column, *, id_col: st
         return vectors.sparkSession.createDataFrame([], empty)
     dim = sizes["n"]
     rows = rows.where(F.size("vec") == dim).withColumn("key", F.xxhash64("vec"))
+    # of the best rows, those of the query's own id go: as many as that has different vectors
+    most = k + (rows.where("asks").groupBy("id").agg(F.count_distinct("key").alias("n")).agg(F.max("n")).first()[0] or 1)
     order = Window.partitionBy("key").orderBy("id")
-    firsts = rows.groupBy("key", "id").agg(F.first("vec").alias("vec")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    firsts = rows.groupBy("key", "id").agg(F.first("vec").alias("vec")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     index = scratch.keep(firsts.groupBy("key").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_list("id")).alias("ids")), "index")
     asked = scratch.keep(rows.where("asks").select("id", "key").distinct(), "asked")
     keys = asked.select("key").distinct()
@@ -158,40 +194,43 @@ def search(vectors: DataFrame, scratch: Scratch, is_query: Column, *, id_col: st
     drawn = index.orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").toArrow().column(0)
     drawn = _matrix(drawn, dim)
     n_lists = max(1, min(MAX_LISTS, round(2 * math.sqrt(n)), len(drawn)))
+    turn = axes(drawn)
     centroids = fit_centroids(drawn, n_lists)
-    turn = rotation(dim)
-    n_probed = min(n_lists, max(LEAST_PROBED, math.ceil(probed * n_lists)))
-
-    placed = scratch.keep(_listed(index, "key", centroids, turn, 1), "lists", compression="none")
-    parts = placed.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))  # a row for each list: MAX_LISTS at most
-    blocks = max(1, math.ceil(n_keys * probed / BLOCK))
-    candidates = placed.join(F.broadcast(parts), "list").select(
-        "list", F.pmod("key", F.col("parts").cast("long")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "key", "turned"
+    centroids = centroids[np.argsort(centroids @ turn[:, 0])]
+
+    placed = scratch.keep(_listed(index, centroids), "lists", compression="none")
+    per = max(1, HELD // (8 * dim))
+    blocks = math.ceil(n_keys / per)
+    n_parts = max(math.ceil(n / per), min(math.ceil(n / LEAST_PART), math.ceil(vectors.sparkSession.sparkContext.defaultParallelism / blocks)))
+    sizes = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # a row for each list: MAX_LISTS at most
+    before = np.cumsum([0, *[sizes.get(x, 0) for x in range(len(centroids))]])
+    spans = vectors.sparkSession.createDataFrame([(x, int(before[x]), c) for x, c in sizes.items()], "list int, before bigint, size bigint")
+    place = F.col("before") + F.pmod(F.xxhash64("key"), F.col("size"))
+    candidates = placed.join(F.broadcast(spans), "list").select(
+        F.floor(place * n_parts / n).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "list", "key", "first", "vec"
     )
-    wanted = _listed(index.join(keys, "key", "left_semi").withColumnRenamed("key", "q"), "q", centroids, turn, n_probed)
-    wanted = wanted.join(F.broadcast(parts), "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), "q", "turned"
+    wanted = placed.join(keys, "key", "left_semi").select(
+        F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), F.col("list").alias("at"), F.col("key").alias("q"), F.col("vec").alias("asked")
     )
+    sent = vectors.sparkSession.sparkContext.broadcast((centroids, turn))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("q", pa.int64()), ("key", pa.int64()), ("near", pa.float64())])
+        schema = pa.schema([("q", pa.int64()), ("key", pa.int64()), ("first", pa.int64()), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        ask, have = (np.frombuffer(b"".join(t.column("turned").to_pylist()), "<f8").reshape(-1, dim) for t in (left, right))
-        found = adaptive_scan(ask, have, k + 1)
-        at = np.concatenate([a for a, _ in found])
-        by = np.repeat(np.arange(len(found)), [len(a) for a, _ in found])
-        return pa.Table.from_arrays([left.column("q").combine_chunks().take(pa.array(by)), right.column("key").combine_chunks().take(pa.array(at)), pa.array(np.concatenate([p for _, p in found]))], schema=schema)
-
-    grid = ["list", "part", "block"]
-    found = wanted.groupBy(*grid).cogroup(candidates.groupBy(*grid)).applyInArrow(cell, "q bigint, key bigint, near double")
-    best = Window.partitionBy("q").orderBy(F.desc("near"), "key")
-    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 5).select("q", "key")
-    found = found.join(index, "key").join(index.select(F.col("key").alias("q"), F.col("vec").alias("asked")), "q")
-    product = F.aggregate(F.zip_with("asked", "vec", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = found.select("q", product.alias("score"), F.explode("ids").alias("vec_id"))
+        left, right = left.sort_by("at"), right.sort_by("list")
+        ask, have = (np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim) for column in (left.column("asked"), right.column("vec")))
+        lists, first = right.column("list").to_numpy(), right.column("first").to_numpy()
+        by, at, score = adaptive_scan(ask, have, lists, first, *sent.value, most)
+        return pa.Table.from_arrays([pa.array(left.column("q").to_numpy()[by]), pa.array(right.column("key").to_numpy()[at]), pa.array(first[at]), pa.array(score)], schema=schema)
+
+    grid = ["part", "block"]
+    found = wanted.groupBy(*grid).cogroup(candidates.groupBy(*grid)).applyInArrow(cell, "q bigint, key bigint, first bigint, score double")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "first", "key")
+    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most)
+    scored = found.join(index.select("key", "ids"), "key").select("q", "score", F.explode("ids").alias("vec_id"))
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    top = scored.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("top"))
+    top = scored.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= most).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("top"))
     own = asked.join(top, asked["key"] == top["q"])
     others = F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("id")), 1, k)
     return own.select(F.col("id").alias("query_id"), F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")

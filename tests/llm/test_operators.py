@@ -364,6 +364,30 @@ def test_search_recall_and_odd_vectors(spark):
     assert ann.search(rows.where("vec_id < 0"), Scratch(spark, "t"), F.lit(True)).isEmpty()
 
 
+@pytest.mark.parametrize("kind", ["lengths", "clusters", "axes", "ties"])
+def test_search_is_exact_on_other_rows(spark, monkeypatch, kind):
+    monkeypatch.setattr(ann, "LEAST_PART", 256)
+    monkeypatch.setattr(ann, "GROUP", 128)
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((900, 24))
+    if kind == "lengths":
+        vectors *= rng.lognormal(0, 1, 900)[:, None]
+    elif kind == "clusters":
+        vectors = rng.standard_normal((9, 24))[rng.integers(0, 9, 900)] + 0.1 * vectors
+    elif kind == "axes":
+        vectors /= np.arange(1, 25)
+    else:
+        vectors = rng.integers(0, 2, (900, 24)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(20, (2 * vectors[20] + 1).tolist())], "vec_id long, embedding array<double>")
+    found: dict[int, list] = {}
+    for r in ann.search(rows, Scratch(spark, "t"), F.col("vec_id") % 20 == 0).where("query_id != 20").orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    every = [*enumerate(vectors), (20, 2 * vectors[20] + 1)]
+    for q in [q for q in range(0, 900, 20) if q != 20]:
+        scores = [(-np.cumsum(vectors[q] * v)[-1], i) for i, v in every if i != q]
+        assert found[q] == [(i, -s) for s, i in sorted(scores)[:20]]
+
+
 def test_chat_windows_round_trip(spark):
     rng = random.Random(1)
     pieces = ["a", "\\", "<|im_end|>", "</s>", "[INST]", "<", "|", "\n", "ñ", "<<SYS>>", " "]
