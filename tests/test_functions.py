@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 import re
 import unicodedata
 
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import evaluation, learning, localize, plagiarism, segments, signals, verdict
+from scriptorium.operators import evaluation, learning, localize, plagiarism, scoring, segments, signals, verdict
 from scriptorium.operators.features import FEATURE_ORDER, featurize
 from scriptorium.plans import engine, queries
 from scriptorium.sources import documents, store
@@ -261,3 +262,16 @@ def test_analyze_scores_sentences_once(spark):
     both = localize.mixture(scores).join(localize.regions(scores), "id", "outer")
     both.collect()
     assert "ReusedExchange" in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_of_windows_and_blocks_are_those_of_their_features(spark):
+    rng = random.Random(4)
+    parts = ["Además, en la actualidad", "suele", "SUELE ", "ΟΔΟΣ", "además²", "1. ", "- uno", "jaja…", "...", " . ", "“dos” — tres", "e\u0301l mi_7", "x", "\x0b", "\u2028", "por un lado", "Por", "otro lado", "İ", "creo que", "me gusta", "\n", "\n\n", "\x1c\n", ".", "?!", "podría, pues", "ⅷ ½", "٣)", "a) b", "日本"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", ". "]) for _ in range(rng.randrange(1, 160))) for _ in range(150)]
+    texts += ["", " ", "Título\nDice algo más. " * 30, "palabra " * 130 + "fin. Otra frase corta.", "\n\n".join(["Además, es esencial decir algo de esto."] * 20)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    by = ["id", "sent"]
+    plain = featurize(localize.sentence_windows(rows), "window", only=signals.USED).select(*by, "words", F.col("f.word_count").alias("n"), F.when(F.col("f.word_count") >= 12, signals.heuristic(F.col("f"))).alias("p"))
+    assert sorted(scoring.over_sentences(rows, 12).collect()) == sorted(plain.collect())
+    whole = rows.withColumn("words", F.lit(1))
+    assert sorted(scoring.over_texts(whole).collect()) == sorted(featurize(whole, only=signals.USED).select("id", "words", signals.heuristic(F.col("f"))).collect())
