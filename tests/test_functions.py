@@ -275,3 +275,6 @@ def test_scores_of_windows_and_blocks_are_those_of_their_features(spark):
     assert sorted(scoring.over_sentences(rows, 12).collect()) == sorted(plain.collect())
     whole = rows.withColumn("words", F.lit(1))
     assert sorted(scoring.over_texts(whole).collect()) == sorted(featurize(whole, only=signals.USED).select("id", "words", signals.heuristic(F.col("f"))).collect())
+    every = [*FEATURE_ORDER, *queries.RAW]
+    listed = lambda d: sorted(d.select("id", *[F.col(f"f.{k}").alias(k) for k in every]).collect())
+    assert listed(scoring.featured(rows)) == listed(featurize(rows))
