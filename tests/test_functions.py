@@ -278,3 +278,12 @@ def test_scores_of_windows_and_blocks_are_those_of_their_features(spark):
     every = [*FEATURE_ORDER, *queries.RAW]
     listed = lambda d: sorted(d.select("id", *[F.col(f"f.{k}").alias(k) for k in every]).collect())
     assert listed(scoring.featured(rows)) == listed(featurize(rows))
+
+
+@pytest.mark.parametrize("short", [False, True])
+def test_only_texts_that_share_a_shingle_are_cut_into_sentences(spark, short):
+    texts = spark.createDataFrame([(1, "Nada. Uno dos tres cuatro cinco seis. Corta."), (2, "Otra cosa sin relación con nada. Muy corta."), (3, "uno")], "id long, text string")
+    refs = spark.createDataFrame([(7, 7, "uno dos tres cuatro cinco seis")] + [(8, 8, "muy corta")] * short, "ref_id long, ref_order long, text string")
+    right = plagiarism.shingle_rows(refs, "ref_id", "ref_order")
+    assert {r.id for r in plagiarism.sharing(texts, refs, right).collect()} == ({1, 2, 3} if short else {1})
+    assert {(r.id, r.sent, r.ref_id, r.overlap) for r in plagiarism.flagged_sentences(texts, refs).collect()} == {(1, 1, 7, 100)} | ({(2, 1, 8, 100)} if short else set())
